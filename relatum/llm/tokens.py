@@ -13,6 +13,7 @@ hash; a null id comes first; an empty table gives files without blocks; other co
 from __future__ import annotations
 
 import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,9 @@ from relatum.llm.common import drop_staged, ragged, shared_dir, staged, text_sli
 
 #: Ids of a block, unless one document has more; entries of a worker's word cache.
 BLOCK_IDS = 1 << 19
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Bytes of text encoded at once: the more, the more words are met again.
+TOKEN_SLICE = 12 << 20
 BLOCK_SCHEMA = "part int, seq int, doc_ids array<bigint>, counts array<int>, control binary, data binary"
 
 
@@ -38,11 +41,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks that, after a letter or digit, make a token run of their own.
+TRAIL = ".,!?;:|%$&*#"
+WORD_END = "</w>"
+
+
+def _solid(c: str) -> bool:
+    """Whether c stays a letter or digit when normalised, so that a mark after it starts a run."""
+    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+
+
 class WordEncoder:
     """Encodes texts by their distinct white-space-free pieces.
 
     The vocabulary's normaliser and splitter never look across white space and drop it, so a text's ids are those of
-    its pieces in a row. Vocabularies for which that does not hold are encoded whole (`by_word=False`).
+    its pieces in a row; and a piece's trailing marks are split from the letter or digit before them. Stems of letters
+    alone are one splitter word each, so many are encoded as one text, and the ids that end words part them again.
+    Vocabularies for which that does not hold are encoded whole (`by_word=False`).
     """
 
     def __init__(self, name: str, by_word: bool = True):
@@ -53,36 +68,102 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(tokenizer_path(name))
         self.by_word = by_word
-        self.cache: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        vocab = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode, for stems of letters alone."""
+        if not stems:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, _ = self._encode([" ".join(stems[i : i + 1024]) for i in range(0, len(stems), 1024)])
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(stems) or ends[-1] != len(ids) - 1:
+            return self._encode(stems)
+        return ids, np.diff(np.concatenate([[-1], ends]))
+
+    def _learn(self, stems: list[str]) -> None:
+        plain, other = [], []
+        for s in stems:
+            one = s.isalpha() and (s.isascii() or (unicodedata.is_normalized("NFC", s) and s.lower().isalpha()))
+            (plain if one else other).append(s)
+        for group, encode in ((plain, self._encode_stems), (other, self._encode)):
+            if not group:
+                continue
+            ids, n = encode(group)
+            k = len(self.known)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while k + len(n) > len(self.sizes):
+                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[k : k + len(n)] = self.used + np.cumsum(n) - n
+            self.sizes[k : k + len(n)] = n
+            self.used += len(ids)
+            self.known.update(zip(group, range(k, k + len(group)), strict=True))
+
+    def _places(self, *texts: list[str]) -> list[np.ndarray]:
+        """Where each string's ids stand in the store."""
+        distinct = set().union(*texts)
+        missing = [s for s in distinct if s not in self.known]
+        if len(self.known) + len(missing) > CACHE_WORDS and self.known:
+            self._forget()
+            missing = list(distinct)
+        self._learn(missing)
+        return [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in texts]
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         col = pc.fill_null(col, "")
         if not self.by_word:
-            found = self._encode(col.to_pylist())
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())), n
+            return self._encode(col.to_pylist())
         split = pc.ascii_split_whitespace(col)
         pieces = split.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        cache = self.cache
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = words
-        cache.update(zip(missing, self._encode(missing), strict=True))
-        found = [cache[w] for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum()))
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        stems = [w.rstrip(TRAIL) for w in words]
+        parted = [
+            (s if len(s) < len(w) and s and _solid(s[-1]) else w) if "<|" not in w else w
+            for w, s in zip(words, stems, strict=True)
+        ]
+        trails = [w[len(s) :] for w, s in zip(words, parted, strict=True)]
+        marked = "<|" in "".join(words)
+        parted = [s.lower() if s.isascii() and not (marked and "<|" in s) else s for s in parted]
+        # Two pieces a word: its stem and its trail, mostly empty.
+        pair = np.stack(self._places(parted, trails), axis=1).reshape(-1)
+        size = self.sizes[pair]
+        ids = self.ids[ragged(self.starts[pair], size)]
+        n = size.reshape(-1, 2).sum(axis=1)
         starts = np.cumsum(n) - n
-        at = pieces.indices.to_numpy(zero_copy_only=False)
-        out = ids[ragged(starts[at], n[at])]
-        piece_ends = np.concatenate([[0], np.cumsum(n[at])])
+        index = pieces.indices.to_numpy(zero_copy_only=False)
+        per = n[index]
+        piece_ends = np.concatenate([[0], np.cumsum(per)])
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return out, np.diff(piece_ends[bounds])
+        # Positions fit in 32 bits here, which halves what the widest gather moves.
+        where = np.repeat((starts[index] - piece_ends[:-1]).astype(np.int32), per)
+        where += np.arange(len(where), dtype=np.int32)
+        return ids[where], np.diff(piece_ends[bounds])
+
+
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder(name: str, by_word: bool = True) -> WordEncoder:
+    """This worker's encoder, which keeps the words it knows from task to task."""
+    key = (name, by_word)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(name, by_word)
+    return _ENCODERS[key]
 
 
 def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 2, by_word: bool = True) -> DataFrame:
@@ -91,9 +172,9 @@ def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc = WordEncoder(name, by_word)
+        enc = encoder(name, by_word)
         kind = np.uint16 if max(enc.tok.get_vocab_size(), end_id + 1) <= 65536 else np.uint32
-        for b in text_slices(batches):
+        for b in text_slices(batches, max_bytes=TOKEN_SLICE):
             ids, n = enc.encode(b.column("text"))
             ends = np.cumsum(n)
             whole = np.full(len(ids) + len(n), end_id, kind)
