@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relatum.llm import fingerprint, mixing, neardup, quality, tokens
+from relatum.llm import fingerprint, mixing, neardup, quality, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -36,6 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_substrings": op6_substrings,
     "op7_token_output": op7_token_output,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
