@@ -28,9 +28,9 @@ from relatum.llm.common import drop_staged, ragged, shared_dir, staged, text_sli
 
 #: Ids of a block, unless one document has more; entries of a worker's word cache.
 BLOCK_IDS = 1 << 19
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Bytes of text encoded at once: the more, the more words are met again.
-TOKEN_SLICE = 12 << 20
+TOKEN_SLICE = 6 << 20
 BLOCK_SCHEMA = "part int, seq int, doc_ids array<bigint>, counts array<int>, control binary, data binary"
 
 
@@ -190,10 +190,12 @@ def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 2,
     return rows.mapInArrow(run, "doc_id bigint, tie bigint, ids binary, n bigint")
 
 
-def _ids(blob: bytes, n: int) -> np.ndarray:
+def _ids(blobs: list[bytes], n: int) -> np.ndarray:
+    """The n ids of several rows in a row."""
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    z = zstandard.ZstdDecompressor()
+    raw = b"".join(map(z.decompress, blobs))
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
@@ -203,11 +205,10 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for blob, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True):
-                c = np.bincount(_ids(blob, n))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            c = np.bincount(_ids(b.column("ids").to_pylist(), int(np.sum(b.column("n").to_numpy(zero_copy_only=False)))))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "count"])
 
@@ -272,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", en
                     yield block(held, found)
                     held, found, size = [], [], 0
                 held.append(doc)
-                found.append(shared.value[_ids(blob, n)])
+                found.append(shared.value[_ids([blob], n)])
                 size += n
         if held:
             yield block(held, found)
