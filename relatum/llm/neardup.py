@@ -2,9 +2,9 @@
 
 Each text becomes the set of its five-word shingles. Texts with one set form a class; a class has a MinHash signature of
 64 values. The forest holds several sorted orders, each by its own sequence of eight of these values. In each order,
-classes that agree on the first four are a region; a class is a candidate with its two predecessors, and with the head
-of every nested region (four, five, six, eight values in common) it stands in, so crowded regions are compared at greater
-depth and no region emits all its pairs. Candidates whose signatures agree enough are confirmed on their full sets.
+classes that agree on the first four are a region. A class is a candidate with its neighbour of longest common prefix and
+with the head of each nested region it stands in: at four, five, six and eight values and with two more neighbours where
+the region is small, at the least and greatest depth where it is crowded, so no region emits all its pairs. Candidates whose signatures agree enough are confirmed on their full sets.
 
 Confirmation goes in rounds, since links inside a component need no second proof: first the best candidate of each
 class, then the four best of each component, then all that still join two components. Connected components of the
@@ -32,6 +32,10 @@ DEPTH = 4
 #: Signature values in common from which a pair is confirmed on its sets: at a similarity of 0.85, 54 are expected and
 #: fewer than this have odds of about one in 100,000.
 LEAST_COMMON = 41
+#: Rows of a region from which it is compared at fewer depths and with one neighbour.
+CROWDED = 16
+#: Links up to which components are found in one task, which holds them all; more are found by joins.
+TASK_LINKS = 500_000
 
 
 def _multipliers() -> np.ndarray:
@@ -139,9 +143,11 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key, label, node = np.concatenate([hk, key]), np.concatenate([hl, label]), np.concatenate([hn, node])
         new = len(key) - n
         a, b = [], []
-        for lag in (1, 2):
+        region = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        few = np.bincount(region)[region] <= CROWDED
+        for lag in (1, 2, 3):
             i = np.arange(max(new, lag), len(key))
-            i = i[key[i] == key[i - lag]]
+            i = i[(key[i] == key[i - lag]) & (few[i] | (lag == 1))]
             a.append(node[i])
             b.append(node[i - lag])
         for d, s in enumerate(shifts):
@@ -152,8 +158,10 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             head = node[at]
             if heads[d] is not None:
                 head[at == 0] = heads[d]  # the region that was open at the batch's first row
-            a.append(node[new:])
-            b.append(head[new:])
+            # A crowded region is compared at its least and its greatest depth, besides neighbours.
+            use = np.arange(new, len(key)) if d in (0, len(shifts) - 1) else np.flatnonzero(few[new:]) + new
+            a.append(node[use])
+            b.append(head[use])
             heads[d] = head[-1].copy()
         yield out(np.concatenate(a), np.concatenate(b))
         # The two rows kept must not hide where a region began: heads hold for the first of them only if it is in the same region.
@@ -211,8 +219,35 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(above.setdefault(a, a)), find(above.setdefault(b, b))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.binary()), pa.array([find(x) for x in above], pa.binary())], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node in edges (a, b): hooks to the least neighbour's label, then jumps to the label's label."""
+    """node, root (the least node) of every node in edges (a, b, written already).
+
+    Up to TASK_LINKS of them in one task; beyond, labels hook to the least neighbour's and jump to the label's label.
+    """
+    if edges.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return checkpointed(edges.select("a", "b").repartition(1).mapInArrow(_union_find, "node binary, root binary"))
+    return joined_components(edges)
+
+
+def joined_components(edges: DataFrame) -> DataFrame:
+    """As components, by joins alone."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     lab = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
