@@ -9,8 +9,8 @@ Sorting every suffix of a corpus costs far more than its repeats need, so suffix
 3. Of anchors with an unsettled class, one run for each class goes to the anchor's shard. A shard's suffix array is
    refined by doubling as Larsson and Sadakane do, in numpy: only groups that are not yet single are sorted again. Common
    prefixes of neighbours come from the refinement's rank levels, as Kasai's scan has no form without a step a byte.
-4. An anchor with more classes than a shard holds is dealt to several; their sorted lists of distinct windows are merged
-   by search for equal window hashes.
+4. An anchor with more classes than a shard holds is dealt to several, which are merged by hash: neighbouring windows go
+   as one group with the string they share, and groups whose string another shard has too are compared window by window.
 
 Defined results: a null or short text keeps all its bytes; repeated rows are documents that repeat each other; an empty
 table gives an empty result; other columns are ignored.
@@ -34,6 +34,11 @@ GRAM = 32
 #: Classes of one anchor that go to one shard; bytes sorted in one suffix array.
 SHARD_CLASSES = 2000
 SHARD_BYTES = 2 << 20
+#: A run has fewer windows than this; its place is its first window times this, plus its number of windows.
+RUN_BITS = 16
+RUN = 1 << RUN_BITS
+#: Of a dealt anchor, windows go in groups of neighbours that hold one probe string.
+STEP = 16
 
 
 def _least_before(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,38 +82,43 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return d, lo - off[d], count, anchor.view(np.int64), kind.view(np.int64)
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 8, 16, ... bytes, up to the last power below `depth`; zeros follow the end."""
+def suffix_ranks(data: np.ndarray, depth: int, keep: bool = True) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 8, 16, ... bytes, up to the last power below `depth`; zeros follow the end.
+
+    Without `keep`, only the deepest level.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, np.int64)
+    new[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.empty(n, np.int32)
     # A group's rank is the place of its first member, so groups split without changing any other rank.
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     levels, h = [(8, rank)], 8
     while 2 * h <= depth:
         single = new & np.append(new[1:], True)
-        left = np.flatnonzero(~single)
-        rank = rank.copy()
+        left = np.flatnonzero(~single).astype(np.int32)
+        last, rank = rank, rank.copy()
         if len(left):
             pos = order[left]
-            after = np.where(pos + h < n, levels[-1][1][np.minimum(pos + h, n - 1)], -1)
-            sub = np.lexsort((after, rank[pos]))
-            pos, after = pos[sub], after[sub]
-            old = rank[pos]
+            after = np.where(pos + h < n, last[np.minimum(pos + h, n - 1)] + 1, 0)
+            pair = last[pos].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+            sub = np.argsort(pair)
+            pos, pair = pos[sub], pair[sub]
             split = np.ones(len(pos), bool)
-            split[1:] = (old[1:] != old[:-1]) | (after[1:] != after[:-1])
+            split[1:] = pair[1:] != pair[:-1]
             order[left] = pos
             new[left] = split
             rank[pos] = left[np.maximum.accumulate(np.where(split, np.arange(len(pos)), 0))]
         h *= 2
-        levels.append((h, rank))
+        levels = [*(levels if keep else ()), (h, rank)]
     return levels
 
 
@@ -138,33 +148,31 @@ def common_prefix(levels: list[tuple[int, np.ndarray]], data: np.ndarray, i: np.
     return np.minimum(got, depth)
 
 
-def repeated_windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window inside one text (texts end at `ends`): whether an equal one starts elsewhere, and its rank among all."""
-    levels = suffix_ranks(data, length)
-    h, rank = levels[-1]
+def repeated_windows(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """For each window inside one text (texts end at `ends`): whether an equal one starts elsewhere."""
+    h, rank = suffix_ranks(data, length, keep=False)[-1]
     begin = np.concatenate([[0], ends[:-1]])
     s = ragged(begin, np.maximum(ends - begin - length + 1, 0))
-    a, b = rank[s], rank[s + length - h]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     # Equal ranks of two overlapping halves: the common prefix is the whole window.
-    single = new & np.append(new[1:], True)
+    pair = rank[s].astype(np.uint64) << np.uint64(32) | rank[s + length - h].astype(np.uint64)
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.ones(len(s), bool)
+    new[1:] = pair[1:] != pair[:-1]
     twice = np.zeros(len(s), bool)
-    twice[order] = ~single
-    place = np.empty(len(s), np.int64)
-    place[order] = np.cumsum(new)
-    return twice, place
+    twice[order] = ~(new & np.append(new[1:], True))
+    return twice
 
 
 KEY = "id bigint, tie bigint"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents by id (null: the least number) and text hash."""
+    """Documents by id (null: the least number), and by text hash too if ids repeat."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    repeat = not rows.groupBy("id").count().where("count > 1").limit(1).isEmpty()
+    return rows.withColumn("tie", F.xxhash64("text") if repeat else F.lit(0).cast("bigint"))
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -172,9 +180,9 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for b in text_slices(batches):
             doc, lo, n, anchor, kind = runs_of(*text_bytes(b.column("text")), length, gram)
             ids = [b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tie")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, lo, n, anchor, kind))], ["id", "tie", "lo", "n", "anchor", "kind"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, lo * RUN + n, anchor, kind))], ["id", "tie", "place", "anchor", "kind"])
 
-    return docs.select("id", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, f"{KEY}, lo bigint, n bigint, anchor bigint, kind bigint")
+    return docs.select("id", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, f"{KEY}, place bigint, anchor bigint, kind bigint")
 
 
 def _intervals(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,11 +201,13 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """id, tie, lo, hi: windows lo..hi-1 of a document (keyed, text) start elsewhere too. A document may have many rows."""
     spark = docs.sparkSession
     runs, _ = staged(_runs(docs, length, gram), "runs")
-    first = F.min(F.struct("id", "tie", "lo", "n")).alias("at")
-    classes, _ = staged(runs.groupBy("anchor", "kind").agg(F.count("*").alias("runs"), first), "classes")
-    twice = runs.join(classes.where("runs > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select("id", "tie", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    # Any run may stand for its class, and which does is settled by writing the classes down.
+    some = [F.first(c).alias(c) for c in ("id", "tie", "place")]
+    classes, _ = staged(runs.groupBy("anchor", "kind").agg(F.count("*").alias("runs"), *some), "classes")
+    lo, n = F.shiftright("place", RUN_BITS), F.col("place").bitwiseAND(RUN - 1)
+    twice = runs.join(classes.where("runs > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select("id", "tie", lo.alias("lo"), (lo + n).alias("hi"))
     open_ = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("runs") == 1).alias("open")).where("m > 1 and open > 0").select("anchor", "m")
-    sent = classes.join(open_, "anchor").select("anchor", "m", F.col("runs").alias("copies"), "at.*")
+    sent = classes.join(open_, "anchor").select("anchor", "m", F.col("runs").alias("copies"), "id", "tie", lo.alias("lo"), n.alias("n"))
     texts = docs.select("id", "tie", "text").join(sent.select("id", "tie").distinct(), ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
     wanted = sent.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "m", "copies", "lo", "n")).alias("runs"))
 
@@ -215,41 +225,59 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("id", "tie", "lo"), F.ceil(F.col("m") / SHARD_CLASSES))
     shards = bodies.withColumn("salt", salt).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found, _ = staged(shards.mapInArrow(_shard_windows(length), f"{KEY}, lo bigint, hi bigint, window bigint, copies bigint"), "windows")
-    local = found.where(F.col("window").isNull()).select("id", "tie", "lo", "hi")
-    # Distinct windows of dealt anchors: those single in their shard but known to another one.
-    dealt = found.where(F.col("window").isNotNull())
-    again = dealt.groupBy("window").agg(F.sum("copies").alias("all")).where("all > 1")
-    across = dealt.where("copies = 1").join(again, "window", "left_semi").select("id", "tie", "lo", "hi")
+    found, _ = staged(shards.mapInArrow(_shard_windows(length, gram), f"{KEY}, lo bigint, hi bigint, probe bigint, copies bigint, windows array<bigint>"), "windows")
+    local = found.where(F.col("probe").isNull()).select("id", "tie", "lo", "hi")
+    # Windows of dealt anchors: what other shards know of a probe string tells which groups to compare window by window.
+    dealt = found.where(F.col("probe").isNotNull())
+    known = dealt.groupBy("probe").agg(F.sum("copies").alias("all")).where("all > 1").select("probe")
+    near = dealt.join(known, "probe", "left_semi").select("id", "tie", "copies", "lo", F.posexplode("windows").alias("i", "window"))
+    again = near.groupBy("window").agg(F.sum("copies").alias("all")).where("all > 1").select("window")
+    at = F.col("lo") + F.col("i")
+    across = near.where("copies = 1").join(again, "window", "left_semi").select("id", "tie", at.alias("lo"), (at + 1).alias("hi"))
     return twice.union(local).union(across)
 
 
-def _shard_windows(length: int):
+def _probes(data: np.ndarray, begin: int, n: int, anchor: int, prefix: np.ndarray, length: int, gram: int) -> list[tuple[int, int, np.ndarray]]:
+    """Groups of a run's windows that hold one probe, which stands at a multiple of STEP from the anchor: first window, probe hash, window hashes."""
+    at = np.arange(begin + n - 1, begin + length - gram + 1)
+    a = int(at[np.argmax(mix64(range_hash(prefix, at, at + gram)).view(np.int64) == anchor)]) - begin
+    s = np.arange(n)
+    p = -((a - s) // STEP) * STEP + a
+    windows = mix64(range_hash(prefix, begin + s, begin + s + length)).view(np.int64)
+    first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    probe = begin + p[first]
+    hashes = mix64(range_hash(prefix, probe, probe + length - STEP + 1) ^ np.uint64(MIX_1)).view(np.int64)
+    return list(zip(first.tolist(), hashes.tolist(), np.split(windows, first[1:]), strict=True))
+
+
+def _shard_windows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "tie", "lo", "hi", "window", "copies"]
+        names = ["id", "tie", "lo", "hi", "probe", "copies", "windows"]
 
         def sort(rows: list[tuple]) -> pa.RecordBatch:
-            ids, ties, many, copies, los, bodies = (list(x) for x in zip(*rows, strict=True))
+            ids, ties, many, copies, los, bodies, anchors = (list(x) for x in zip(*rows, strict=True))
             data = np.frombuffer(b"".join(bodies), np.uint8)
             size = np.array([len(x) for x in bodies])
-            twice, place = repeated_windows(data, np.cumsum(size), length)
+            twice = repeated_windows(data, np.cumsum(size), length)
             n = size - length + 1
             row = np.repeat(np.arange(len(rows)), n)
             s = ragged(np.array(los, np.int64), n)
-            ids, ties, copies, many = np.array(ids, np.int64), np.array(ties, np.int64), np.array(copies, np.int64), np.array(many, bool)
-            r, lo, hi = _intervals(row[twice & (copies[row] == 1)], s[twice & (copies[row] == 1)])
-            cols = [ids[r], ties[r], lo, hi]
-            # One row for each distinct window of an anchor that other shards have too.
-            w = np.flatnonzero(many[row])
-            _, at, back = np.unique(place[w], return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=copies[row[w]], minlength=len(at)).astype(np.int64)
-            w = w[at]
-            begin = np.cumsum(size) - size
-            local = begin[row[w]] + s[w] - np.array(los, np.int64)[row[w]]
-            hashes = mix64(range_hash(prefix_hash(data), local, local + length)).view(np.int64) if len(w) else np.zeros(0, np.int64)
-            both = [np.concatenate(x) for x in zip(cols, (ids[row[w]], ties[row[w]], s[w], s[w] + 1), strict=True)]
-            none = pa.nulls(len(lo), pa.int64())
-            return pa.RecordBatch.from_arrays([*map(pa.array, both), pa.concat_arrays([none, pa.array(hashes)]), pa.concat_arrays([none, pa.array(total)])], names)
+            ids, ties, copies = np.array(ids, np.int64), np.array(ties, np.int64), np.array(copies, np.int64)
+            chosen = twice & (copies[row] == 1)
+            r, lo, hi = _intervals(row[chosen], s[chosen])
+            groups, of = [], []
+            if any(many):
+                prefix, begin = prefix_hash(data), np.cumsum(size) - size
+                for i in np.flatnonzero(many).tolist():
+                    mine = _probes(data, int(begin[i]), int(n[i]), anchors[i], prefix, length, gram)
+                    groups += mine
+                    of += [i] * len(mine)
+            of = np.array(of, np.int64)
+            first = np.array([g[0] for g in groups], np.int64) + np.array(los, np.int64)[of]
+            both = [np.concatenate(x) for x in zip((ids[r], ties[r], lo, hi), (ids[of], ties[of], first, first), strict=True)]
+            none = len(lo)
+            more = [pa.concat_arrays([pa.nulls(none, kind), pa.array(x, kind)]) for x, kind in (([g[1] for g in groups], pa.int64()), (copies[of].tolist(), pa.int64()), ([g[2] for g in groups], pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, both), *more], names)
 
         held, used, last = [], 0, None
         for b in batches:
@@ -258,7 +286,7 @@ def _shard_windows(length: int):
                 if used > SHARD_BYTES and key != last:
                     yield sort(held)
                     held, used = [], 0
-                held.append((r[0], r[1], r[4] > SHARD_CLASSES, r[5], r[6], r[7]))
+                held.append((r[0], r[1], r[4] > SHARD_CLASSES, r[5], r[6], r[7], r[2]))
                 used += len(r[7])
                 last = key
         if held:
