@@ -49,6 +49,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that tells all its rows apart: doc_id, or a number written down where ids are null or repeat."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).isEmpty():
+        return docs, "doc_id"
+    name = f"row_{uuid.uuid4().hex}"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")[0], name
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5):
     """True where crc32 of the id as text leaves no remainder; such rows never give labels."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds) == 0, F.lit(False))

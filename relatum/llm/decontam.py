@@ -200,6 +200,21 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select(*docs.columns, F.array_sort(F.concat(*found)).alias("matches"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+    spark, out = docs.sparkSession, docs
+    for table in _parts(benchmark):
+        shared = spark.sparkContext.broadcast((table.column("item_id").to_pylist(), table.column("text").combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(*shared.value)
+            for b in text_slices(batches):
+                yield b.filter(pa.array([not m for m in matches(b.column("text"), bench)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, best_item, best_similarity, item_ids for every row of docs (doc_id, text)."""
     rows = benchmark_matches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark)

@@ -169,3 +169,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold."""
+    logits, bias = fit(docs, labels, label)
+    shared = docs.sparkSession.sparkContext.broadcast((logits.astype(np.float32), bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b0 = shared.value
+        for b in text_slices(batches):
+            yield b.filter(pa.array(score_texts(b.column("text"), w, b0) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
