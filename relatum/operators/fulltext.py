@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
 
@@ -79,7 +80,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def porter_terms(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of an array of terms."""
     known: dict[str, str] = {}

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _floats(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for blobs, dims in parts:
         yield pd.Series([None if b is None or d is None else (np.frombuffer(b, "<f4", int(d)) if len(b) >= 4 * d else np.zeros(0, np.float32)) for b, d in zip(blobs, dims, strict=True)])
@@ -21,13 +22,13 @@ def decode_vector(blob: Column, dim: Column) -> Column:
     return _floats(blob, dim)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     """The opposite of decode_vector."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_mask(masks: pd.Series) -> pd.Series:
     """Run lengths of a 0/1 byte mask as (value, run) byte pairs, runs of 255 at most."""
 
