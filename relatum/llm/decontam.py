@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from relatum.llm.common import shingle_hashes, text_bytes, text_slices, word_hashes
+from relatum.llm.common import ragged, shingle_hashes, text_bytes, text_slices, word_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -86,26 +86,29 @@ class Benchmark:
         start = np.cumsum(counts) - counts
         self.sizes: dict[int, tuple[list[int], list[Counter], HammingIndex]] = {}
         n = np.diff(first)
-        known = []
+        known, of_size = [], {}
         for size in np.unique(n[n > 0]).tolist():
             at = np.flatnonzero(n == size)
             shingles = [hashes[start[i] : start[i] + counts[i]] for i in at]
             if size >= SIZE:
                 known += shingles
             prints = simhash(np.concatenate(shingles), counts[at])
+            of_size[size] = shingles
             self.sizes[size] = ([ids[i] for i in at], [Counter(x.tolist()) for x in shingles], HammingIndex(prints))
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         self.first = np.zeros(1 << 16, bool)
         self.first[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        #: For each size, which of the known shingles its items have.
+        self.mine = {m: np.isin(self.known, np.concatenate(x)) for m, x in of_size.items() if m >= SIZE}
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        """Whether each is a shingle of some item."""
-        out = np.zeros(len(hashes), bool)
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known shingles, and which ones they are."""
         maybe = np.flatnonzero(self.first[(hashes >> np.uint64(48)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
-            out[maybe] = self.known[at] == hashes[maybe]
-        return out
+        if not len(maybe) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        same = self.known[at] == hashes[maybe]
+        return maybe[same], at[same]
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -130,9 +133,8 @@ def matches(col: pa.Array, bench: Benchmark) -> list[dict[int, float]]:
             if s >= SIMILARITY - 1e-12 and s > out[doc].get(ids[i], 0):
                 out[doc][ids[i]] = s
 
-    hit = bench.has(hashes)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    per_doc = total[start + counts] - total[start]
+    place, which = bench.hits(hashes)
+    owner = np.searchsorted(start, place, side="right") - 1
     for size in bench.sizes:
         if size < SIZE:
             # Fewer words than a shingle: their sequence is the shingle, hashed alike.
@@ -149,11 +151,19 @@ def matches(col: pa.Array, bench: Benchmark) -> list[dict[int, float]]:
             continue
         k = size - SIZE + 1
         need = int(np.ceil(SIMILARITY * k - 1e-9))
-        for doc in np.flatnonzero(per_doc >= need).tolist():
-            wide = min(k, int(counts[doc]))
-            s = np.arange(start[doc], start[doc] + counts[doc] - wide + 1)
-            for at in s[total[s + wide] - total[s] >= need].tolist():
-                verify(doc, size, hashes[at : at + wide])
+        ours = bench.mine[size][which]
+        at, doc = place[ours], owner[ours]
+        # Windows with enough of the size's own shingles: those that span some `need` hits in a row.
+        last = np.arange(need - 1, len(at))
+        first_hit, last_hit = at[last - need + 1], at[last]
+        wide = np.minimum(k, counts[doc[last]])
+        near = (doc[last - need + 1] == doc[last]) & (last_hit - first_hit < wide)
+        lo = np.maximum(last_hit - wide + 1, start[doc[last]])[near]
+        hi = np.minimum(first_hit, start[doc[last]] + counts[doc[last]] - wide)[near]
+        windows = np.unique(ragged(lo, np.maximum(hi - lo + 1, 0)))
+        for s in windows.tolist():
+            d = int(np.searchsorted(start, s, side="right") - 1)
+            verify(d, size, hashes[s : s + min(k, int(counts[d]))])
     return out
 
 
