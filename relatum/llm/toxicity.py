@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from relatum.llm.common import held_out, mix64, prefix_hash, ragged, range_hash, text_bytes, text_slices
 from relatum.llm.quality import labelled_sample, split_words
 
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 SEPARATORS = ".-_*~^'`,/\\:="
@@ -164,7 +164,8 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     i = np.flatnonzero(size > 0)
     out.append(mix64(range_hash(prefix, off[i], off[i + 1]) ^ np.uint64(0xFFFF)))
     owner.append(i)
-    return np.concatenate(out), np.concatenate(owner)
+    # The lowest bit is free for a label.
+    return np.concatenate(out) & ~np.uint64(1), np.concatenate(owner)
 
 
 class Shares:
@@ -213,10 +214,11 @@ def shares_of(bags: list[np.ndarray], labels: np.ndarray, keep: float = EVIDENCE
     """From the distinct features of each document."""
     if not bags:
         return Shares(np.zeros(0, np.uint64), np.zeros(0))
-    h = np.concatenate(bags)
-    y = np.repeat(labels, [len(b) for b in bags]).astype(np.float64)
-    u, back, n = np.unique(h, return_inverse=True, return_counts=True)
-    p = np.bincount(back, weights=y) / n
+    h = np.concatenate([b | np.uint64(y) for b, y in zip(bags, labels, strict=True)])
+    h.sort()
+    first = np.flatnonzero(np.append(True, (h[1:] ^ h[:-1]) > 1))
+    u, n = h[first] & ~np.uint64(1), np.diff(np.append(first, len(h)))
+    p = np.add.reduceat(h & np.uint64(1), first) / n
     low = (p + Z * Z / (2 * n) - Z * np.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
     return Shares(u[low >= keep], low[low >= keep])
 
