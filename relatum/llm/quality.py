@@ -26,9 +26,8 @@ BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (2, 3, 4)
 REPEAT = 0  # the bucket of "same word as the one before"
-#: Labelled documents that training reads at most, whatever the size of the input; and their text at most.
-MAX_TRAIN = 4000
-MAX_TRAIN_BYTES = 64 << 20
+#: Labelled documents that training reads at most, whatever the size of the input.
+MAX_TRAIN = 3000
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +88,7 @@ def document_bags(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         u, c = np.unique(ids, return_counts=True)
         if repeats[i]:
             u, c = np.append(u, REPEAT), np.append(c, repeats[i])
-        out.append((u, c / max(c.sum(), 1)))
+        out.append((u.astype(np.int32), (c / max(c.sum(), 1)).astype(np.float32)))
     return out
 
 
