@@ -33,7 +33,7 @@ LENGTH = 400
 GRAM = 32
 #: Classes of one anchor that go to one shard; bytes sorted in one suffix array.
 SHARD_CLASSES = 2000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: A run has fewer windows than this; its place is its first window times this, plus its number of windows.
 RUN_BITS = 16
 RUN = 1 << RUN_BITS
