@@ -70,8 +70,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, least: float, skip_self
         total = base.count()
         blocks = -(-total // BLOCK)
         stretches = max(1, -(-queries.count() // BLOCK))
-        b = base.select("path", "vector", F.pmod(F.xxhash64("path"), F.lit(blocks)).alias("block"))
-        q = queries.select("path", "vector", F.pmod(F.xxhash64(F.lit(1), "path"), F.lit(stretches)).alias("stretch"))
+        b = base.select(F.col("path").alias("base_path"), F.col("vector").alias("base_vector"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"))
+        q = queries.select("path", "vector", F.pmod(F.xxhash64(F.lit(1), "path"), F.lit(stretches)).cast("int").alias("stretch"))
         every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         every_stretch = F.explode(F.sequence(F.lit(0), F.lit(stretches - 1)))
         left = q.withColumn("block", every_block).groupBy("block", "stretch")
@@ -80,7 +80,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, least: float, skip_self
         def meet(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
             if not len(qs) or not len(bs):
                 return pd.DataFrame({"path_a": [], "path_b": [], "similarity": []}).astype({"path_a": object, "path_b": object, "similarity": float})
-            return _nearest(qs["path"].to_numpy(object), _matrix(qs["vector"]), bs["path"].to_numpy(object), _matrix(bs["vector"]), k, least, skip_self)
+            return _nearest(qs["path"].to_numpy(object), _matrix(qs["vector"]), bs["base_path"].to_numpy(object), _matrix(bs["base_vector"]), k, least, skip_self)
 
         found = left.cogroup(right).applyInPandas(meet, schema)
     w = Window.partitionBy("path_a").orderBy(F.desc(F.round("similarity", 9)), "path_b")
