@@ -2,13 +2,14 @@
 
 Each text becomes the set of its five-word shingles. Texts with one set form a class; a class has a MinHash signature of
 64 values. The forest holds several sorted orders, each by its own sequence of eight of these values. In each order,
-classes that agree on the first four are a region. A class is a candidate with its neighbour of longest common prefix and
-with the head of each nested region it stands in: at four, five, six and eight values and with two more neighbours where
-the region is small, at the least and greatest depth where it is crowded, so no region emits all its pairs. Candidates whose signatures agree enough are confirmed on their full sets.
+classes that agree on the first four are a region. All pairs of a small region are candidates; in a crowded one a class
+is a candidate with its neighbour and with the heads of the rows that share four and eight values with it. Candidates
+whose signatures agree enough are confirmed on their full sets.
 
 Confirmation goes in rounds, since links inside a component need no second proof: first the best candidate of each
-class, then the four best of each component, then all that still join two components. Connected components of the
-confirmed links give the result. All of it is shuffled joins of rows of fixed size, but for the sets of candidates.
+class, then the four best of each component, then all that still join two components. Classes of crowded regions that
+are in several components after that are joined exactly, on their sets. Connected components of the confirmed links give
+the result. All of it is shuffled joins of rows of fixed size, but for the sets of candidates.
 
 Defined results: without words or text a row has an empty set, no links and is its own component; repeated rows are in
 one component; a null id never becomes a component's id unless all ids in it are null; an empty table gives an empty
@@ -32,8 +33,10 @@ DEPTH = 4
 #: Signature values in common from which a pair is confirmed on its sets: at a similarity of 0.85, 54 are expected and
 #: fewer than this have odds of about one in 100,000.
 LEAST_COMMON = 41
-#: Rows of a region from which it is compared at fewer depths and with one neighbour.
+#: Rows of a region up to which all its pairs are compared; more go through crowd_pairs().
 CROWDED = 16
+#: Rows of a crowd that hold a shingle, from which it is core; cores compared at once.
+FREQUENT, BLOCK = 32, 2048
 #: Links up to which components are found in one task, which holds them all; more are found by joins.
 TASK_LINKS = 500_000
 
@@ -110,13 +113,10 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one stretch of the sorted orders: a, b; rows at its two ends come with b empty and their key."""
-    shifts = [np.uint64(64), np.uint64(48), np.uint64(32), np.uint64(0)]
+    """Candidates a, b of whole regions in order; members of crowded ones also come with b empty and their key."""
     names = ["a", "b", "key"]
-    held: tuple[np.ndarray, np.ndarray, np.ndarray, list] | None = None
-    last = None
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         first = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] < b[:, 1]))
         same = (a == b).all(axis=1)
         lo, hi = np.where(first[:, None], a, b)[~same], np.where(first[:, None], b, a)[~same]
@@ -124,65 +124,56 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         n = len(pair)
         return pa.RecordBatch.from_arrays([_binary(pair[:, :2].astype(">u8").tobytes(), 16, n), _binary(pair[:, 2:].astype(">u8").tobytes(), 16, n), pa.nulls(n, pa.int64())], names)
 
-    def end(key: int, node: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_binary(node.astype(">u8").tobytes(), 16, 1), pa.nulls(1, pa.binary()), pa.array([key], pa.int64())], names)
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        label = batch.column("label").to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
-        node = np.array([np.frombuffer(x, ">u8") for x in batch.column("node").to_pylist()]).astype(np.uint64)
-        if held is None:
-            yield end(key[0], node[0])
-            heads = [None] * len(shifts)
-        else:
-            # Two rows and the heads of the open regions go before this batch.
-            hk, hl, hn, heads = held
-            key, label, node = np.concatenate([hk, key]), np.concatenate([hl, label]), np.concatenate([hn, node])
-        new = len(key) - n
+    def found(key: np.ndarray, label: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.append(True, key[1:] != key[:-1])
+        few = np.bincount(np.cumsum(starts) - 1)[np.cumsum(starts) - 1] <= CROWDED
         a, b = [], []
-        region = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-        few = np.bincount(region)[region] <= CROWDED
-        for lag in (1, 2, 3):
-            i = np.arange(max(new, lag), len(key))
+        for lag in range(1, CROWDED):
+            i = np.arange(lag, len(key))
             i = i[(key[i] == key[i - lag]) & (few[i] | (lag == 1))]
             a.append(node[i])
             b.append(node[i - lag])
-        for d, s in enumerate(shifts):
-            part = label >> s if s < 64 else np.zeros_like(label)
-            starts = np.ones(len(key), bool)
-            starts[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-            head = node[at]
-            if heads[d] is not None:
-                head[at == 0] = heads[d]  # the region that was open at the batch's first row
-            # A crowded region is compared at its least and its greatest depth, besides neighbours.
-            use = np.arange(new, len(key)) if d in (0, len(shifts) - 1) else np.flatnonzero(few[new:]) + new
-            a.append(node[use])
-            b.append(head[use])
-            heads[d] = head[-1].copy()
-        yield out(np.concatenate(a), np.concatenate(b))
-        # The two rows kept must not hide where a region began: heads hold for the first of them only if it is in the same region.
-        held = (key[-2:], label[-2:], node[-2:], heads) if len(key) > 1 and key[-1] == key[-2] and label[-1] == label[-2] else (key[-1:], label[-1:], node[-1:], heads)
-        last = (key[-1], node[-1])
-    if last:
-        yield end(*last)
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes (node, sig, keys, labels) that are neighbours or region mates in some order."""
+        # A crowded region's cheap candidates: neighbours, its head, and the heads of rows equal in all values.
+        for first in (starts, starts | np.append(True, label[1:] != label[:-1])):
+            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+            a.append(node[~few])
+            b.append(node[at][~few])
+        yield pairs(np.concatenate(a), np.concatenate(b))
+        n = int((~few).sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([_binary(node[~few].astype(">u8").tobytes(), 16, n), pa.nulls(n, pa.binary()), pa.array(key[~few], pa.int64())], names)
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        node = np.frombuffer(b"".join(batch.column("node").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        fresh = (batch.column("key").to_numpy(zero_copy_only=False), batch.column("label").to_numpy(zero_copy_only=False), node)
+        key, label, node = (np.concatenate(x) for x in zip(held, fresh, strict=True))
+        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        # The last region may go on: it waits, and one that is crowded already leaves its first rows and its last.
+        yield from found(key[:last], label[:last], node[:last])
+        key, label, node = key[last:], label[last:], node[last:]
+        if len(key) > CROWDED + 2:
+            yield from found(key, label, node)
+            keep = np.append(np.arange(CROWDED + 1), len(key) - 1)
+            key, label, node = key[keep], label[keep], node[keep]
+        held = (key, label, node)
+    yield from found(*held)
+
+
+def candidates(nodes: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of nodes (node, sig, keys, labels) that are region mates in some order; key, node of crowded regions."""
     spark = nodes.sparkSession
     rows = nodes.select("node", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.labels").alias("label"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartitionByRange(parts, "key", "label", "node").sortWithinPartitions("key", "label", "node").mapInArrow(_region_edges, "a binary, b binary, key bigint")
+    found = rows.repartition(parts, "key").sortWithinPartitions("key", "label", "node").mapInArrow(_region_edges, "a binary, b binary, key bigint")
     found, path = staged(found, "regions")
-    # A region may go over the end of a stretch: both sides meet the least of the rows at such ends.
-    ends = found.where(F.col("b").isNull()).select("key", F.col("a").alias("node"))
-    least = ends.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    over = ends.join(least, "key").where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b"))
-    pairs = found.where(F.col("b").isNotNull()).select("a", "b").union(over).distinct()
+    crowds = checkpointed(found.where(F.col("b").isNull()).select("key", F.col("a").alias("node")).distinct())
+    pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
     sig = nodes.select("node", "sig")
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
 
@@ -196,7 +187,79 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
     out = checkpointed(pairs.mapInArrow(common, "a binary, b binary, common int"))
     drop_staged(spark, path)
-    return out
+    return out, crowds
+
+
+def crowd_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of rows (node, root, set), of unlike roots, whose links join the same components as all links of rows do.
+
+    Shingles in at most FREQUENT rows are rare, others are core. Two similar sets that share a rare shingle share one
+    among their first ones in order of frequency (prefix filter), whose few holders are paired. Two that share only core
+    shingles are for the greater part core. Of those with one core, all meet the row with the least besides it; of those
+    with similar cores, each meets that row of the other core: if two rows are linked, one of these two ways links both.
+    """
+    spark = rows.sparkSession
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                x = b.slice(lo, 256)
+                sets = [np.frombuffer(v, np.int64) for v in x.column("set").to_pylist()]
+                at = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), x.column("node").take(pa.array(at))], ["s", "node"])
+
+    held = checkpointed(rows.select("node", "set").mapInArrow(explode, "s bigint, node binary"))
+    shared = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    items = held.join(shared, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("items"))
+    size = (F.octet_length("set") / 8).cast("bigint")
+    items = checkpointed(rows.select("node", "root", size.alias("n")).join(items, "node"))
+    # Shingles of one row come first in the order; what they leave of the prefix is looked up.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("items"))
+    rare = F.filter(F.slice("items", 1, F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["df"] <= FREQUENT)
+    listed = items.select("node", "root", "n", F.explode(rare).alias("x")).groupBy("x.s").agg(F.collect_list(F.struct("node", "root", "n")).alias("l")).where(F.size("l") > 1)
+    met = listed.select("l", F.explode("l").alias("x")).select("x", F.explode("l").alias("y")).where("x.node < y.node and x.root != y.root and 100 * least(x.n, y.n) >= " + str(percent) + " * greatest(x.n, y.n)")
+    out = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    core = F.array_sort(F.transform(F.filter("items", lambda x: x["df"] > FREQUENT), lambda x: x["s"]))
+    heavy = items.withColumn("core", core).where(100 * F.size("core") >= percent * F.col("n"))
+    heavy = checkpointed(heavy.select("node", "root", (F.col("n") - F.size("core")).alias("more"), F.sha2(F.array_join("core", ",").cast("binary"), 256).alias("class"), "core"))
+    if heavy.limit(1).isEmpty():
+        return out.distinct()
+    best = checkpointed(heavy.groupBy("class").agg(F.min(F.struct("more", "node", "root")).alias("m"), F.first("core").alias("core")))
+    least = best.select("class", F.col("m.node").alias("b"), F.col("m.root").alias("rb"), F.col("m.more").alias("least"))
+    # Room: how many shingles besides their cores two rows may have that share no others. Those that do are met above.
+    near = best.select("class", F.col("class").alias("other"), (F.floor(100 * F.size("core") / percent) - F.size("core")).alias("room"))
+    blocks = -(-best.count() // BLOCK)
+
+    def alike(table: pa.Table) -> pa.Table:
+        block, names = table.column("block").to_numpy(), table.column("class").to_pylist()
+        sets = [np.asarray(v.values) for v in table.column("core").combine_chunks()]
+        n, more = np.array([len(v) for v in sets]), table.column("more").to_numpy()
+        vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        ia = np.flatnonzero(block == block.min())
+        ib = np.flatnonzero(block == block.max())
+        inter = np.zeros((len(ia), len(ib)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        for lo in range(0, len(vocabulary), BLOCK):
+            l, h = np.searchsorted(at, [lo, lo + BLOCK])
+            m = np.zeros((len(sets), BLOCK), np.float32)
+            m[row[l:h], at[l:h] - lo] = 1
+            inter += m[ia] @ m[ib].T
+        inter = inter.astype(np.int64)
+        room = 100 * inter // percent - (n[ia][:, None] + n[ib][None] - inter)
+        i, j = np.nonzero(room >= more[ia][:, None] + more[ib][None])
+        room, i, j = room[i, j], ia[i], ib[j]
+        return pa.table({"class": pa.array([names[k] for k in np.append(i, j)], pa.string()), "other": pa.array([names[k] for k in np.append(j, i)], pa.string()), "room": np.append(room, room)})
+
+    # Every two blocks of cores meet once.
+    dealt = best.select("class", "core", F.col("m.more").alias("more"), F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
+    dealt = dealt.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
+    found = dealt.groupBy("i", "j").applyInArrow(alike, "class string, other string, room bigint")
+    near = near.union(found).distinct()
+    to = heavy.select(F.col("node").alias("a"), F.col("root").alias("ra"), "class", "more").join(near, "class").join(least.withColumnRenamed("class", "other"), "other").where("ra != rb and more + least <= room")
+    return out.union(to.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,18 +324,30 @@ def joined_components(edges: DataFrame) -> DataFrame:
             return lab
 
 
-def _confirmed_components(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _merged(root: DataFrame | None, good: DataFrame) -> DataFrame:
+    """node, root after links (a, b) of roots."""
+    step = components(good)
+    if root is None:
+        return step
+    to = step.toDF("root", "to")
+    old = root.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpointed(old.union(step.join(root.select("node"), "node", "left_anti")))
+
+
+def _rooted(pairs: DataFrame, root: DataFrame | None) -> DataFrame:
+    """pairs with ra, rb, the roots of a and b so far, where they are not one."""
+    if root is None:
+        return pairs.withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))
+    rows = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
+    return rows.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra != rb")
+
+
+def _confirmed_components(cand: DataFrame, crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """node, root over the confirmed links; None where there are none."""
     root: DataFrame | None = None
     left = cand
     for best in (1, 4, None):
-        if root is not None:
-            ra, rb = root.toDF("a", "ra"), root.toDF("b", "rb")
-            left = left.select("a", "b", "common").join(ra, "a", "left").join(rb, "b", "left")
-            left = left.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra != rb")
-        else:
-            left = left.withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))
-        left = checkpointed(left)
+        left = checkpointed(_rooted(left.select("a", "b", "common"), root))
         if left.limit(1).isEmpty():
             break
         picked = left
@@ -282,17 +357,18 @@ def _confirmed_components(cand: DataFrame, sets: DataFrame, percent: int) -> Dat
             picked = checkpointed(ranks[0].union(ranks[1]).distinct())
             left = left.join(picked.select("a", "b"), ["a", "b"], "left_anti")
         good = checkpointed(_confirm(picked.select("a", "b"), sets, percent).join(picked, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        if good.limit(1).isEmpty():
-            continue
-        step = components(good)
-        if root is None:
-            root = step
-        else:
-            to = step.toDF("root", "to")
-            old = root.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            fresh = step.join(root.select("node"), "node", "left_anti")
-            root = checkpointed(old.union(fresh))
-    return root
+        if not good.limit(1).isEmpty():
+            root = _merged(root, good)
+    # Crowded regions that are not in one component yet are searched to the end.
+    known = crowds.withColumn("root", F.col("node")) if root is None else crowds.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = checkpointed(known)
+    open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    rows = checkpointed(known.join(open_, "key").select("node", "root").distinct())
+    if rows.limit(1).isEmpty():
+        return root
+    picked = checkpointed(_rooted(crowd_pairs(rows.join(sets, "node"), percent), root))
+    good = checkpointed(_confirm(picked.select("a", "b"), sets, percent).join(picked, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return root if good.limit(1).isEmpty() else _merged(root, good)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
@@ -300,8 +376,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     base, _ = staged(sketches(docs, size), "sketches")
     full = base.where("n_shingles > 0")
     nodes = checkpointed(full.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("labels").alias("labels")))
-    cand = candidates(nodes.select("node", "sig", "keys", "labels"))
-    wanted = checkpointed(cand.select(F.col("a").alias("node")).union(cand.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least"), "node"))
+    cand, crowds = candidates(nodes.select("node", "sig", "keys", "labels"), percent)
+    wanted = checkpointed(cand.select(F.col("a").alias("node")).union(cand.select(F.col("b").alias("node"))).union(crowds.select("node")).distinct().join(nodes.select("node", "least"), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -315,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     no_id = F.lit(-(1 << 63))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), no_id).alias("id"), "text").join(wanted.select(F.coalesce("least", no_id).alias("id")).distinct(), "id", "left_semi")
     sets, set_path = staged(texts.select("text").mapInArrow(run, "node binary, set binary").dropDuplicates(["node"]), "sets")
-    root = _confirmed_components(cand, sets, percent)
+    root = _confirmed_components(cand, crowds, sets, percent)
     if root is None:
         ids = nodes.select("node", F.col("least").alias("component_id"))
     else:

@@ -164,3 +164,31 @@ def test_suffix_array_and_common_prefixes():
 def test_kept_bytes_are_what_is_left(documents):
     r = substrings.remove_repeats(documents).where(F.col("n_removed") > 0).first()
     assert len(r.kept) == r.n_bytes - r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+
+
+def crowd(rng, n, passage, own, pairs):
+    """Texts that share a passage and are not linked by it, with near pairs among them."""
+    shared, docs = prose(rng, passage), []
+    for i in range(n):
+        mine = [f"own{i}x{k}" for k in range(own)]
+        docs.append((len(docs), f"{shared} {' '.join(mine)}"))
+        if i < pairs:
+            docs.append((len(docs), f"{shared} {' '.join(mine[: own * 3 // 4])} {' '.join(f'new{i}x{k}' for k in range(own // 4))}"))
+    rng.shuffle(docs)
+    return [(i, t) for i, (_, t) in enumerate(docs)]
+
+
+def test_near_pairs_inside_a_crowd(spark):
+    """Pairs at 0.95 among texts at 0.82 to each other, and a second passage that varies."""
+    rng = random.Random(9)
+    docs = crowd(rng, 400, 454, 50, 40)
+    docs += [(1000 + i, t) for i, t in crowd(rng, 60, 200, 10, 20)]
+    words = prose(rng, 300).split()
+    for i in range(120):
+        mine = list(words)
+        for k in rng.sample(range(8), 4):
+            mine[30 * k] = f"v{k}"
+        docs.append((2000 + i, " ".join([*mine, *(f"u{i}x{k}" for k in range(rng.randrange(60)))])))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == sorted(brute_components(docs))
