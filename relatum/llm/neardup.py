@@ -19,6 +19,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,6 @@ from relatum.llm.common import MIX_1, MIX_2, checkpointed, distinct_by_doc, drop
 VALUES = 64
 ORDERS = 24
 DEPTH = 4
-#: Signature values in common from which a pair is confirmed on its sets: at a similarity of 0.85, 54 are expected and
-#: fewer than this have odds of about one in 100,000.
-LEAST_COMMON = 41
 #: Rows of a region up to which all its pairs are compared; more go through crowd_pairs().
 CROWDED = 16
 #: Rows of a crowd that hold a shingle, from which it is core; cores compared at once.
@@ -41,6 +39,16 @@ FREQUENT, BLOCK = 32, 2048
 TASK_LINKS = 500_000
 
 
+def least_common(percent: int) -> int:
+    """Signature values in common from which a pair is confirmed: at this similarity fewer have odds of one in 100,000."""
+    p, below = percent / 100, 0.0
+    for k in range(VALUES):
+        below += comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k)
+        if below > 1e-5:
+            return k
+    return VALUES
+
+
 def _multipliers() -> np.ndarray:
     return mix64(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
@@ -174,7 +182,7 @@ def candidates(nodes: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFram
     found, path = staged(found, "regions")
     crowds = checkpointed(found.where(F.col("b").isNull()).select("key", F.col("a").alias("node")).distinct())
     pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
-    sig = nodes.select("node", "sig")
+    sig, least = nodes.select("node", "sig"), least_common(percent)
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +191,7 @@ def candidates(nodes: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFram
                 sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
                 n = (sa == sb).sum(axis=1)
                 kept = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(n.astype(np.int32))], ["a", "b", "common"])
-                yield kept.filter(pa.array(n >= LEAST_COMMON))
+                yield kept.filter(pa.array(n >= least))
 
     out = checkpointed(pairs.mapInArrow(common, "a binary, b binary, common int"))
     drop_staged(spark, path)

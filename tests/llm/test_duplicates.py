@@ -192,3 +192,8 @@ def test_near_pairs_inside_a_crowd(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect())
     assert got == sorted(brute_components(docs))
+
+
+@pytest.mark.parametrize("percent, least", [(85, 41), (80, 36), (100, 64)])
+def test_least_common_follows_the_threshold(percent, least):
+    assert neardup.least_common(percent) == least
