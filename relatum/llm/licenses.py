@@ -83,7 +83,10 @@ SPDX = re.compile(r"^spdx license identifier ([a-z0-9 ]+)$")
 #: What a text must hold for any sentence to be known.
 TRIGGER = r"(?i)licen[cs]ed|released|distributed|available under|published under|provided|permission|redistribut|neither the name|free software|required by|compliance|rights reserved|spdx"
 DECORATION = re.compile(r"[!#$%&*|]+")
-END = re.compile(r"\n|[.;?](?=\s|$)")
+#: A sentence ends at a mark or a blank line (of a comment too); its lines may be wrapped.
+END = re.compile(r"[.;?](?=\s|$)|\n(?:[^\w\n]*\n)+")
+#: Normalised characters that tell a wrapped sentence.
+TELLING = 200
 OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -101,6 +104,7 @@ def sentence_id(sentence: str) -> str | None:
     m = GRANT.match(sentence)
     if m:
         name = m[1]
+        name = name.removesuffix(" the license") if name.removesuffix(" the license") in NAMES else name
         for x in (name, name.removesuffix(" license")):
             if x in NAMES:
                 return f"named:{NAMES[x]}"
@@ -114,8 +118,17 @@ def identifiers(text: str) -> list[str]:
     """Known sentences of a text in order."""
     out = []
     for s in END.split(DECORATION.sub("", text)):
-        if re.search(TRIGGER, s):
-            k = sentence_id(normalised(s))
+        if not re.search(TRIGGER, s.replace("\n", " ")):
+            continue
+        lines = [normalised(x) for x in s.split("\n")]
+        for i, line in enumerate(lines):
+            # A known sentence may begin at any line; where the line alone is none, those it is wrapped to are joined.
+            k, j = sentence_id(line) if line else None, i + 1
+            if line and k is None and j < len(lines):
+                while j < len(lines) and len(line) < TELLING:
+                    line = f"{line} {lines[j]}".strip()
+                    j += 1
+                k = sentence_id(line)
             if k:
                 out.append(k)
     return out

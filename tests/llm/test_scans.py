@@ -183,3 +183,47 @@ def test_license_lines_of_documents(spark, data, documents):
 
 def test_odd_licenses(odd, none):
     assert licenses.license_scan(odd).count() == odd.count() and licenses.license_scan(none).count() == 0
+
+
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files, to deal in it.
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED.""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above
+ *    copyright notice.
+ * 3. Neither the name of the copyright holder may be used.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+ * "AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+ it under the terms of the GNU General Public License.
+
+This program is distributed in the hope that it will be
+useful, but WITHOUT ANY WARRANTY.""",
+    "Apache-2.0": """Some text before without an end
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in
+writing, software is distributed on an "AS IS" BASIS.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_published_notices(name):
+    assert licenses.matched(licenses.identifiers(NOTICES[name])) == [name]
