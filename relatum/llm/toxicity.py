@@ -105,7 +105,8 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 
 def decode(word: str, model: np.ndarray) -> str:
     """The likeliest reading of a disguised word: Viterbi over states of the last two letter classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # A state's text is a chain of letters, each with what stands before it.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     runs = [n for n in (len(list(g)) for _, g in groupby(word)) for _ in range(n)]
     before = ""
     for c, run in zip(word, runs, strict=True):
@@ -118,7 +119,7 @@ def decode(word: str, model: np.ndarray) -> str:
             options += [(x, SIGN_COST) for x in LEET.get(c, "")]
             options.append(("", SEPARATOR_COST if c in SEPARATORS else DROP_COST))
         before = c
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, text) in states.items():
             for x, extra in options:
                 if x:
@@ -127,15 +128,25 @@ def decode(word: str, model: np.ndarray) -> str:
                 else:
                     to, new = (a, b), cost + extra
                 if to not in nxt or new < nxt[to][0]:
-                    nxt[to] = (new, text + x)
+                    nxt[to] = (new, (text, x) if x else text)
         states = nxt
-    return min((cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+    ends = [(cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_written(text) for cost, text in ends if cost == least)
+
+
+def _written(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def readings(words: pa.Array, at: np.ndarray, bounds: np.ndarray, model: np.ndarray) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
     """Restored words with the word each comes from, and words of letters that stood apart with their text."""
     suspect = np.flatnonzero(pc.match_substring_regex(words, SUSPECT).to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
-    found = [(decode(w, model), i) for i, w in zip(suspect.tolist(), words.take(pa.array(suspect)).to_pylist(), strict=True) if len(w) <= 4 * LONGEST]
+    found = [(decode(w, model), i) for i, w in zip(suspect.tolist(), words.take(pa.array(suspect)).to_pylist(), strict=True)]
     apart, owner = [], []
     if len(at):
         single = pc.utf8_length(words).to_numpy(zero_copy_only=False)[at] == 1

@@ -81,3 +81,12 @@ def test_trigram_counts_by_brute_force():
         for i in range(len(word) + 1):
             want[x[i] * 4096 + x[i + 1] * 64 + x[i + 2]] += k
     assert (got == want).all()
+
+
+def test_long_words_are_read():
+    """A word stretched beyond any bound by repeats or separators."""
+    words = pa.array(["stupid", "people", "hello", "world", "idiot"])
+    model = toxicity.smoothed(toxicity.trigram_counts(words, np.full(5, 1000)))
+    seen = pa.array(["i" + "d" * 90 + "iot", "-".join("stupid").replace("-", "-" * 30)])
+    restored, source, _, _ = toxicity.readings(seen, np.arange(2), np.array([0, 1, 2]), model)
+    assert restored == ["idiot", "stupid"] and source.tolist() == [0, 1]
