@@ -63,9 +63,9 @@ def _by(column: str, table: dict[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(other))
 
 
-def text_anchors(fts: DataFrame, query: str, limit: int = MAX_HITS) -> DataFrame:
+def text_anchors(fts: DataFrame, query: str, limit: int = MAX_HITS, stem: bool = False) -> DataFrame:
     """Edges (path, category, edge, via, weight) of full-text hits. A better rank lowers the weight, as it always did."""
-    hits = search(fts, query, limit)
+    hits = search(fts, query, limit, stem)
     damp = 0.5 + 0.5 / (1 + F.least(F.abs("rank"), F.lit(10.0)) / 10)
     return hits.select("path", F.lit("anchor").alias("category"), F.concat(F.lit("anchor:"), "source_type").alias("edge"), F.lit(None).cast("string").alias("via"), (_by("source_type", SOURCE_WEIGHT, OTHER_SOURCE) * damp).alias("weight"))
 
@@ -175,7 +175,7 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
     A depth is one step of joins: all files at or above the floor send at once, and send again at the next depth. The
     number of steps is a small constant; each ends in a checkpoint.
     """
-    parts = [text_anchors(catalog.corpus_fts, query)]
+    parts = [text_anchors(catalog.corpus_fts, query, stem=True)]
     stems = stem_anchors(catalog.properties, query) if options.stem_anchoring else None
     parts += [x for x in (stems, visual_anchors(visual) if visual is not None else None) if x is not None]
     known = catalog.files.select("path")
@@ -189,7 +189,7 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
             sent = boosted(sent, regions)
         state = _cut(accumulate(state, sent))
     if options.negative_query:
-        hits = search(catalog.corpus_fts, options.negative_query, MAX_NEGATIVE_HITS).groupBy("path").agg(F.count("*").alias("hits"))
+        hits = search(catalog.corpus_fts, options.negative_query, MAX_NEGATIVE_HITS, stem=True).groupBy("path").agg(F.count("*").alias("hits"))
         state = state.join(hits, "path", "left").withColumn("score", F.col("score") * F.pow(F.lit(0.3), F.coalesce("hits", F.lit(0)))).drop("hits")
     rows = state.join(catalog.files.select("path", "parent_folder"), "path").join(topology_weights(catalog), "parent_folder", "left")
     rows = rows.withColumn("concept_score", F.least(F.least("score", F.lit(1.0)) * F.coalesce("topo_weight", F.lit(1.0)), F.lit(1.0)))
@@ -212,7 +212,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def simple_search(catalog: Catalog, query: str, limit: int = 100) -> DataFrame:
     """path, score: hits of the query and of its naive plural at 1, folder siblings of the first 50 at half, the best of each."""
     words = [query, query + "s" if not query.endswith("s") else query[:-1]]
-    hits = reduce(DataFrame.unionByName, [search(catalog.corpus_fts, w, limit).select("path", (F.lit(1.0) / (1 + F.abs("rank"))).alias("score")) for w in words])
+    hits = reduce(DataFrame.unionByName, [search(catalog.corpus_fts, w, limit, stem=True).select("path", (F.lit(1.0) / (1 + F.abs("rank"))).alias("score")) for w in words])
     hits = hits.groupBy("path").agg(F.max("score").alias("score"))
     first = hits.orderBy(F.desc("score"), "path").limit(50)
     near = folder_siblings(catalog.files, 20).join(first, "path").select(F.col("sibling").alias("path"), (F.col("score") * 0.5).alias("score"))

@@ -205,3 +205,10 @@ def test_results_do_not_depend_on_partitions(spark, graph):
         return [(r.path, round(r.concept_score, 12)) for r in concept.concept_query(c, "rain").collect()]
 
     assert run(1) == run(7)
+
+
+def test_concept_anchors_by_stem(spark):
+    from relatum.operators import concept
+
+    fts = spark.createDataFrame([("/a", "title", "", "licensed"), ("/b", "title", "", "licenses"), ("/c", "title", "", "other"), ("/d", "title", "", "more")], "path string, source_type string, source_key string, content string")
+    assert {r.path for r in concept.text_anchors(fts, "license", stem=True).collect()} == {"/a", "/b"}
