@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -158,6 +159,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Numbers of the byte values and of the places in a word; longer words are hashed whole.
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX_2))
+_PLACES = mix64(np.arange(1, (1 << 12) + 1, dtype=np.uint64) * np.uint64(MIX_1)) | np.uint64(1)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of [^ \\t-\\r]+ with A-Z in lower case: hash, first byte and end of each, and the first word of each document (n + 1)."""
     if not len(data):
@@ -178,8 +184,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end[1:] &= ~space
     end[0] = False
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
-    h = mix64(range_hash(prefix_hash(low), starts, ends) ^ (ends - starts).astype(np.uint64) * np.uint64(MIX_2))
-    return h, starts, ends, np.searchsorted(starts, offsets)
+    size = ends - starts
+    # Every byte times a number of its place: unlike a polynomial, this has no words that collide by their pattern.
+    short = np.flatnonzero(size <= len(_PLACES))
+    n = size[short]
+    h = np.zeros(len(starts), np.uint64)
+    if len(short):
+        at = np.cumsum(n) - n
+        with np.errstate(over="ignore"):
+            h[short] = np.add.reduceat(_VALUES[low[ragged(starts[short], n)]] * _PLACES[ragged(np.zeros(len(n), np.int64), n)], at)
+    for i in np.flatnonzero(size > len(_PLACES)).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest())
+    return mix64(h ^ size.astype(np.uint64) * np.uint64(MIX_2)), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.repeat_report(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Removal of repeated substrings: every byte covered by a 400-byte string that also starts anywhere else.
 
-Sorting every suffix of a corpus costs far more than its repeats need, so suffix arrays are built where they decide:
-
 1. Each window of `length` bytes has an anchor, its leftmost least 32-byte gram by hash. Windows next to each other that
    share one are a run. Equal windows have equal anchors at equal offsets, so a window whose anchor's gram occurs once
-   in the corpus is not repeated.
-2. Runs with one anchor, extent and content are a class. A class with two runs settles all their windows.
-3. Of anchors with an unsettled class, one run for each class goes to the anchor's shard. A shard's suffix array is
-   refined by doubling as Larsson and Sadakane do, in numpy: only groups that are not yet single are sorted again. Common
-   prefixes of neighbours come from the refinement's rank levels, as Kasai's scan has no form without a step a byte.
-4. An anchor with more classes than a shard holds is dealt to several, which are merged by hash: neighbouring windows go
-   as one group with the string they share, and groups whose string another shard has too are compared window by window.
+   in the collection is not repeated. Runs of equal bytes (by a 128-bit digest) are one class and go on as one body; a
+   class of two runs or more settles its own windows.
+2. Bodies of an anchor with an open class go to the anchor's shard. A shard's suffix array is refined as Larsson and
+   Sadakane do: suffixes sorted by their first bytes fall into groups, and only groups that are not single yet are sorted
+   again, by the rank that each suffix has after as many bytes. Kasai's scan gives the common prefixes: in text order a
+   prefix is one byte shorter than the one before unless the bytes before both suffixes differ, so only those where they
+   differ are counted, all at once. A window is repeated if it has `length` bytes in common with a neighbour.
+3. An anchor with more classes than a shard holds is dealt to several. Each writes its windows as a sorted list and cuts it
+   by binary search at the bounds of as many ranges; whoever merges a range looks each list up in the others by binary
+   search.
+
+Documents that share a passage of more than 50 words are found alike, on words in place of bytes, in step 1.
 
 Defined results: a null or short text keeps all its bytes; repeated rows are documents that repeat each other; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; texts of any length are read whole, their bodies in bounded batches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +30,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relatum.llm.common import MIX_1, MIX_2, byte_lengths, mix64, prefix_hash, ragged, range_hash, staged, text_bytes, text_slices
+from relatum.llm.common import byte_lengths, mix64, prefix_hash, ragged, range_hash, staged, text_bytes, text_slices, word_hashes
 
 LENGTH = 400
 GRAM = 32
+#: Words that a passage has at least, and words of its anchor.
+PASSAGE, PASSAGE_GRAM = 51, 8
 #: Classes of one anchor that go to one shard; bytes sorted in one suffix array.
 SHARD_CLASSES = 2000
 SHARD_BYTES = 1 << 20
 #: A run has fewer windows than this; its place is its first window times this, plus its number of windows.
 RUN_BITS = 16
 RUN = 1 << RUN_BITS
-#: Of a dealt anchor, windows go in groups of neighbours that hold one probe string.
-STEP = 16
+#: Bodies of a document in one Arrow batch.
+BODIES = 4096
+#: Bytes of a suffix that its first key holds.
+HEAD = 7
 
 
 def _least_before(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,12 +60,11 @@ def _least_before(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows: document, first window and number (in its bytes), anchor hash, class hash."""
+    """Runs of windows over symbols (bytes, or hashes of words): document, first window and number, anchor hash, two halves of a digest."""
     size = np.diff(off)
     windows = np.maximum(size - length + 1, 0)
     if not windows.any():
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return (np.zeros(0, np.int64),) * 6
     prefix = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     h = mix64(range_hash(prefix, at, at + gram))
@@ -72,96 +78,111 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(s)))
     lo = s[first]
-    anchor_at = (mine[first] & np.uint64((1 << int(place)) - 1)).astype(np.int64)
-    anchor = h[anchor_at]
-    body = range_hash(prefix, lo, lo + count + length - 1)
-    with np.errstate(over="ignore"):
-        shape = (anchor_at - lo).astype(np.uint64) * np.uint64(MIX_1) + count.astype(np.uint64) * np.uint64(MIX_2)
-        kind = mix64(mix64(body) + shape + anchor)
+    anchor = h[(mine[first] & np.uint64((1 << int(place)) - 1)).astype(np.int64)]
+    raw, wide = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    bounds = zip((wide * lo).tolist(), (wide * (lo + count + length - 1)).tolist(), strict=True)
+    digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in bounds])
+    kind = np.frombuffer(digest, np.int64).reshape(-1, 2)
     d = doc[first]
-    return d, lo - off[d], count, anchor.view(np.int64), kind.view(np.int64)
+    return d, lo - off[d], count, anchor.view(np.int64), kind[:, 0], kind[:, 1]
 
 
-def suffix_ranks(data: np.ndarray, depth: int, keep: bool = True) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 8, 16, ... bytes, up to the last power below `depth`; zeros follow the end.
+def sorted_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of texts that end at `ends`, by refinement: the order of all places, where each place's text ends, and the bytes.
 
-    Without `keep`, only the deepest level.
+    Each text gets a closing place, which sorts before all bytes and is like no other, so that no suffix is compared
+    beyond its text; places are those in the texts with their closings.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    begin = np.concatenate([[0], ends[:-1]])
+    n = len(data) + len(ends)
+    place = np.arange(len(data)) + np.repeat(np.arange(len(ends)), ends - begin)
+    text = np.zeros(n + 8, np.uint8)
+    text[place] = data
+    close = ends + np.arange(len(ends))
+    stop = np.repeat(close, np.diff(np.append(-1, close)))
+    left = stop - np.arange(n)
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(HEAD):
         key <<= np.uint64(8)
-        key |= padded[k : k + n]
-    order = np.argsort(key).astype(np.int32)
+        key |= np.where(left > k, text[k : k + n], 0).astype(np.uint64)
+    # Of keys alike but for zeros, the text that ends first comes first; of equal ends, that of the earlier text.
+    key = key << np.uint64(8) | np.minimum(left, HEAD).astype(np.uint64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | ((key[1:] & np.uint64(255)) < HEAD)
     del key
     rank = np.empty(n, np.int32)
     # A group's rank is the place of its first member, so groups split without changing any other rank.
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
-    levels, h = [(8, rank)], 8
-    while 2 * h <= depth:
-        single = new & np.append(new[1:], True)
-        left = np.flatnonzero(~single).astype(np.int32)
-        last, rank = rank, rank.copy()
-        if len(left):
-            pos = order[left]
-            after = np.where(pos + h < n, last[np.minimum(pos + h, n - 1)] + 1, 0)
-            pair = last[pos].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-            sub = np.argsort(pair)
-            pos, pair = pos[sub], pair[sub]
-            split = np.ones(len(pos), bool)
-            split[1:] = pair[1:] != pair[:-1]
-            order[left] = pos
-            new[left] = split
-            rank[pos] = left[np.maximum.accumulate(np.where(split, np.arange(len(pos)), 0))]
+    h = HEAD
+    while True:
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(open_):
+            return order, stop, text
+        pos = order[open_]
+        # Places of a group that is open have h bytes each, so that what follows them is in their text or its closing.
+        pair = rank[pos].astype(np.uint64) << np.uint64(32) | rank[pos + h].astype(np.uint64)
+        by = np.argsort(pair, kind="stable")
+        pos, pair = pos[by], pair[by]
+        split = np.ones(len(pos), bool)
+        split[1:] = pair[1:] != pair[:-1]
+        order[open_] = pos
+        new[open_] = split
+        rank[pos] = open_[np.maximum.accumulate(np.where(split, np.arange(len(pos)), 0))]
         h *= 2
-        levels = [*(levels if keep else ()), (h, rank)]
-    return levels
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first `depth` bytes or more, and each one's common prefix with the one before (up to depth)."""
-    levels = suffix_ranks(data, depth)
-    n = len(data)
-    h, rank = levels[-1]
-    tail = np.minimum(np.arange(n) + depth - h, n - 1)
-    after = np.where(np.arange(n) + depth - h < n, rank[tail], -1)
-    order = np.lexsort((after, rank))
-    return order, common_prefix(levels, data, order[:-1], order[1:], depth)
-
-
-def common_prefix(levels: list[tuple[int, np.ndarray]], data: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes that suffixes i and j have in common, up to depth: from the deepest rank level down, then byte by byte."""
-    n = len(data)
+def common_prefixes(order: np.ndarray, stop: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: the place before it in the order (-1 for the first), and how many bytes both have in common."""
+    n = len(order)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    # Kasai: where the bytes before both suffixes are alike, one less than at the place before.
+    same = np.zeros(n, bool)
+    inner = at[1:][before[1:] > 0]
+    same[inner] = (text[inner - 1] == text[before[inner] - 1]) & (stop[inner - 1] != inner - 1) & (stop[before[inner] - 1] != before[inner] - 1)
+    i = at[~same & (before >= 0)]
+    j = before[i]
+    most = np.minimum(stop[i] - i, stop[j] - j)
     got = np.zeros(len(i), np.int64)
-    for h, rank in [*reversed(levels), *[(h, r) for h, r in reversed(levels)]]:
-        a, b = i + got, j + got
-        ok = (np.maximum(a, b) + h <= n) & (got < depth)
-        got = got + h * (ok & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]))
-    for _ in range(8):
-        a, b = i + got, j + got
-        ok = np.maximum(a, b) < n
-        got = got + (ok & (data[np.minimum(a, n - 1)] == data[np.minimum(b, n - 1)]) & (got < depth))
-    return np.minimum(got, depth)
-
-
-def repeated_windows(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """For each window inside one text (texts end at `ends`): whether an equal one starts elsewhere."""
-    h, rank = suffix_ranks(data, length, keep=False)[-1]
+    words = np.lib.stride_tricks.sliding_window_view(text, 8)[:n]
+    going = np.flatnonzero(most > 0)
+    while len(going):
+        a, b = i[going] + got[going], j[going] + got[going]
+        differ = words[a] != words[b]
+        some = differ.any(axis=1)
+        got[going] += np.where(some, differ.argmax(axis=1), 8)
+        going = going[~some]
+        going = going[got[going] < most[going]]
+    counted = np.zeros(n, np.int64)
+    counted[i] = np.minimum(got, most)
+    start = np.maximum.accumulate(np.where(same, 0, at))
+    return before, counted[start] - (at - start)
+
+
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of one text in order, and each one's common prefix with the one before (up to depth)."""
+    order, stop, text = sorted_suffixes(data, np.array([len(data)]))
+    before, common = common_prefixes(order, stop, text)
+    order = order[1:]
+    return order, np.minimum(common[order[1:]], depth)
+
+
+def repeated_windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window inside one text (texts end at `ends`): whether an equal one starts elsewhere, and the first of its equals in order."""
+    order, stop, text = sorted_suffixes(data, ends)
+    before, common = common_prefixes(order, stop, text)
+    linked = common >= length
+    twice = linked.copy()
+    twice[before[linked]] = True
+    ranked = np.maximum.accumulate(np.where(linked[order], 0, np.arange(len(order))))
+    group = np.empty(len(order), np.int64)
+    group[order] = ranked
     begin = np.concatenate([[0], ends[:-1]])
-    s = ragged(begin, np.maximum(ends - begin - length + 1, 0))
-    # Equal ranks of two overlapping halves: the common prefix is the whole window.
-    pair = rank[s].astype(np.uint64) << np.uint64(32) | rank[s + length - h].astype(np.uint64)
-    order = np.argsort(pair)
-    pair = pair[order]
-    new = np.ones(len(s), bool)
-    new[1:] = pair[1:] != pair[:-1]
-    twice = np.zeros(len(s), bool)
-    twice[order] = ~(new & np.append(new[1:], True))
-    return twice
+    s = ragged(begin + np.arange(len(ends)), np.maximum(ends - begin - length + 1, 0))
+    return twice[s], group[s]
 
 
 KEY = "id bigint, tie bigint"
@@ -178,11 +199,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            doc, lo, n, anchor, kind = runs_of(*text_bytes(b.column("text")), length, gram)
+            doc, lo, n, *more = runs_of(*text_bytes(b.column("text")), length, gram)
             ids = [b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tie")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, lo * RUN + n, anchor, kind))], ["id", "tie", "place", "anchor", "kind"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, lo * RUN + n, *more))], ["id", "tie", "place", "anchor", "k1", "k2"])
 
-    return docs.select("id", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, f"{KEY}, place bigint, anchor bigint, kind bigint")
+    return docs.select("id", "tie", "text").where(F.octet_length("text") >= length).mapInArrow(run, f"{KEY}, place bigint, anchor bigint, k1 bigint, k2 bigint")
 
 
 def _intervals(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,13 +220,16 @@ def _intervals(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, tie, lo, hi: windows lo..hi-1 of a document (keyed, text) start elsewhere too. A document may have many rows."""
+    if not gram <= length < RUN + gram:
+        raise ValueError(f"length must be from {gram} to {RUN + gram - 1}")
     spark = docs.sparkSession
     runs, _ = staged(_runs(docs, length, gram), "runs")
     # Any run may stand for its class, and which does is settled by writing the classes down.
     some = [F.first(c).alias(c) for c in ("id", "tie", "place")]
-    classes, _ = staged(runs.groupBy("anchor", "kind").agg(F.count("*").alias("runs"), *some), "classes")
+    kind = ["anchor", "k1", "k2"]
+    classes, _ = staged(runs.groupBy(*kind).agg(F.count("*").alias("runs"), *some), "classes")
     lo, n = F.shiftright("place", RUN_BITS), F.col("place").bitwiseAND(RUN - 1)
-    twice = runs.join(classes.where("runs > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select("id", "tie", lo.alias("lo"), (lo + n).alias("hi"))
+    twice = runs.join(classes.where("runs > 1").select(*kind), kind, "left_semi").select("id", "tie", lo.alias("lo"), (lo + n).alias("hi"))
     open_ = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("runs") == 1).alias("open")).where("m > 1 and open > 0").select("anchor", "m")
     sent = classes.join(open_, "anchor").select("anchor", "m", F.col("runs").alias("copies"), "id", "tie", lo.alias("lo"), n.alias("n"))
     texts = docs.select("id", "tie", "text").join(sent.select("id", "tie").distinct(), ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
@@ -215,93 +239,167 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
         names = ["id", "tie", "anchor", "m", "copies", "lo", "body"]
         for b in batches:
             for doc, tie, text, want in zip(*(b.column(c) for c in ("id", "tie", "text", "runs")), strict=True):
-                raw = text.as_buffer()
-                rows = want.as_py()
-                bodies = [raw[r["lo"] : r["lo"] + r["n"] + length - 1] for r in rows]
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * k, pa.int64()), pa.array([tie.as_py()] * k, pa.int64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("anchor", "m", "copies", "lo")), pa.array([memoryview(x).tobytes() for x in bodies], pa.binary())], names)
+                raw, doc, tie = memoryview(text.as_buffer()), doc.as_py(), tie.as_py()
+                for first in range(0, len(want), BODIES):
+                    rows = want.values[first : first + BODIES].to_pylist()
+                    bodies = [raw[r["lo"] : r["lo"] + r["n"] + length - 1].tobytes() for r in rows]
+                    k = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * k, pa.int64()), pa.array([tie] * k, pa.int64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in ("anchor", "m", "copies", "lo")), pa.array(bodies, pa.binary())], names)
 
     bodies = texts.join(wanted, ["id", "tie"]).select("id", "tie", "text", "runs").mapInArrow(cut, f"{KEY}, anchor bigint, m bigint, copies bigint, lo bigint, body binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("id", "tie", "lo"), F.ceil(F.col("m") / SHARD_CLASSES))
-    shards = bodies.withColumn("salt", salt).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found, _ = staged(shards.mapInArrow(_shard_windows(length, gram), f"{KEY}, lo bigint, hi bigint, probe bigint, copies bigint, windows array<bigint>"), "windows")
-    local = found.where(F.col("probe").isNull()).select("id", "tie", "lo", "hi")
-    # Windows of dealt anchors: what other shards know of a probe string tells which groups to compare window by window.
-    dealt = found.where(F.col("probe").isNotNull())
-    known = dealt.groupBy("probe").agg(F.sum("copies").alias("all")).where("all > 1").select("probe")
-    near = dealt.join(known, "probe", "left_semi").select("id", "tie", "copies", "lo", F.posexplode("windows").alias("i", "window"))
-    again = near.groupBy("window").agg(F.sum("copies").alias("all")).where("all > 1").select("window")
-    at = F.col("lo") + F.col("i")
-    across = near.where("copies = 1").join(again, "window", "left_semi").select("id", "tie", at.alias("lo"), (at + 1).alias("hi"))
+    shards = F.ceil(F.col("m") / SHARD_CLASSES)
+    rows = bodies.select("*", shards.alias("shards"), F.pmod(F.xxhash64("id", "tie", "lo"), shards).alias("salt")).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+    found, _ = staged(rows.mapInArrow(_sorted_shards(length), f"{KEY}, lo bigint, hi bigint, anchor bigint, salt bigint, body bigint, part bigint, windows array<bigint>, at array<bigint>"), "shards")
+    local = found.where("hi is not null").select("id", "tie", "lo", "hi")
+    lists = found.where("part is not null").select("anchor", "part", "salt", "windows", "at").repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+    merged = lists.mapInArrow(_merged_lists, "anchor bigint, salt bigint, body bigint, first bigint, end bigint")
+    whose = found.where("body is not null").select("anchor", "salt", "body", "id", "tie", "lo")
+    across = merged.join(whose, ["anchor", "salt", "body"]).select("id", "tie", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("end")).alias("hi"))
     return twice.union(local).union(across)
 
 
-def _probes(data: np.ndarray, begin: int, n: int, anchor: int, prefix: np.ndarray, length: int, gram: int) -> list[tuple[int, int, np.ndarray]]:
-    """Groups of a run's windows that hold one probe, which stands at a multiple of STEP from the anchor: first window, probe hash, window hashes."""
-    at = np.arange(begin + n - 1, begin + length - gram + 1)
-    a = int(at[np.argmax(mix64(range_hash(prefix, at, at + gram)).view(np.int64) == anchor)]) - begin
-    s = np.arange(n)
-    p = -((a - s) // STEP) * STEP + a
-    windows = mix64(range_hash(prefix, begin + s, begin + s + length)).view(np.int64)
-    first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-    probe = begin + p[first]
-    hashes = mix64(range_hash(prefix, probe, probe + length - STEP + 1) ^ np.uint64(MIX_1)).view(np.int64)
-    return list(zip(first.tolist(), hashes.tolist(), np.split(windows, first[1:]), strict=True))
+def _sorted_shards(length: int):
+    """Shards (rows in order of anchor and salt) to repeated windows, and for dealt anchors to bodies and sorted lists of windows.
 
+    A list's `at` is the body's number times RUN plus the window's place, or -1 where the window is known as repeated.
+    """
+    names = ["id", "tie", "lo", "hi", "anchor", "salt", "body", "part", "windows", "at"]
+    schema = pa.schema([(c, pa.int64()) for c in names[:-2]] + [(c, pa.list_(pa.int64())) for c in names[-2:]])
+
+    def table(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, ties, anchors, salts, shards, copies, los, bodies = (list(x) for x in zip(*rows, strict=True))
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        size = np.array([len(x) for x in bodies])
+        twice, group = repeated_windows(data, np.cumsum(size), length)
+        n = size - length + 1
+        row = np.repeat(np.arange(len(rows)), n)
+        first = np.array(los, np.int64)
+        s = ragged(first, n)
+        ids, ties, copies, shards = (np.array(x, np.int64) for x in (ids, ties, copies, shards))
+        chosen = twice & (copies[row] == 1)
+        r, lo, hi = _intervals(row[chosen], s[chosen])
+        yield table(id=ids[r], tie=ties[r], lo=lo, hi=hi)
+        many = np.flatnonzero(shards > 1)
+        if not len(many):
+            return
+        anchors, salts = np.array(anchors, np.int64), np.array(salts, np.int64)
+        yield table(id=ids[many], tie=ties[many], lo=first[many], anchor=anchors[many], salt=salts[many], body=many)
+        known = twice | (copies[row] > 1)
+        edge = np.flatnonzero(np.append(True, (anchors[many][1:] != anchors[many][:-1]) | (salts[many][1:] != salts[many][:-1])))
+        for lo, hi in zip(edge, np.append(edge[1:], len(many)), strict=True):
+            mine = many[lo:hi]
+            w = np.flatnonzero((row >= mine[0]) & (row <= mine[-1]))
+            w = w[np.unique(group[w], return_index=True)[1]]
+            begin = (np.cumsum(size) - size)[row[w]] + s[w] - first[row[w]]
+            raw = memoryview(data)
+            value = np.frombuffer(b"".join([hashlib.blake2b(raw[a : a + length], digest_size=8).digest() for a in begin.tolist()]), np.int64)
+            order = np.argsort(value)
+            value, at = value[order], np.where(known[w], -1, row[w] * RUN + s[w] - first[row[w]])[order]
+            k = int(shards[mine[0]])
+            cuts = np.searchsorted(value, np.array([(-(1 << 63)) + i * (1 << 64) // k for i in range(1, k)], np.int64))
+            bounds = np.concatenate([[0], cuts, [len(value)]])
+            full = np.flatnonzero(np.diff(bounds))
+            yield table(anchor=np.full(len(full), anchors[mine[0]]), salt=np.full(len(full), salts[mine[0]]), part=full, windows=[value[bounds[i] : bounds[i + 1]] for i in full], at=[at[bounds[i] : bounds[i + 1]] for i in full])
 
-def _shard_windows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "tie", "lo", "hi", "probe", "copies", "windows"]
-
-        def sort(rows: list[tuple]) -> pa.RecordBatch:
-            ids, ties, many, copies, los, bodies, anchors = (list(x) for x in zip(*rows, strict=True))
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            size = np.array([len(x) for x in bodies])
-            twice = repeated_windows(data, np.cumsum(size), length)
-            n = size - length + 1
-            row = np.repeat(np.arange(len(rows)), n)
-            s = ragged(np.array(los, np.int64), n)
-            ids, ties, copies = np.array(ids, np.int64), np.array(ties, np.int64), np.array(copies, np.int64)
-            chosen = twice & (copies[row] == 1)
-            r, lo, hi = _intervals(row[chosen], s[chosen])
-            groups, of = [], []
-            if any(many):
-                prefix, begin = prefix_hash(data), np.cumsum(size) - size
-                for i in np.flatnonzero(many).tolist():
-                    mine = _probes(data, int(begin[i]), int(n[i]), anchors[i], prefix, length, gram)
-                    groups += mine
-                    of += [i] * len(mine)
-            of = np.array(of, np.int64)
-            first = np.array([g[0] for g in groups], np.int64) + np.array(los, np.int64)[of]
-            both = [np.concatenate(x) for x in zip((ids[r], ties[r], lo, hi), (ids[of], ties[of], first, first), strict=True)]
-            none = len(lo)
-            more = [pa.concat_arrays([pa.nulls(none, kind), pa.array(x, kind)]) for x, kind in (([g[1] for g in groups], pa.int64()), (copies[of].tolist(), pa.int64()), ([g[2] for g in groups], pa.list_(pa.int64())))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, both), *more], names)
-
         held, used, last = [], 0, None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("id", "tie", "anchor", "salt", "m", "copies", "lo", "body")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("id", "tie", "anchor", "salt", "shards", "copies", "lo", "body")), strict=True):
                 key = r[2:4]
                 if used > SHARD_BYTES and key != last:
-                    yield sort(held)
+                    yield from sort(held)
                     held, used = [], 0
-                held.append((r[0], r[1], r[4] > SHARD_CLASSES, r[5], r[6], r[7], r[2]))
+                held.append(r)
                 used += len(r[7])
                 last = key
         if held:
-            yield sort(held)
+            yield from sort(held)
 
     return run
 
 
+def _merged_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lists of the shards of an anchor, range by range, to the windows that another shard has too."""
+    names = ["anchor", "salt", "body", "first", "end"]
+
+    def merge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        everything = np.sort(np.concatenate([r[3] for r in rows]))
+        for anchor, _, salt, value, at in rows:
+            asked = at >= 0
+            others = np.searchsorted(everything, value[asked], "right") - np.searchsorted(everything, value[asked], "left")
+            body, first = np.divmod(at[asked][others > 1], RUN)
+            body, first, end = _intervals(body, first)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(body), anchor, np.int64), np.full(len(body), salt, np.int64), body, first, end))], names)
+
+    held, last = [], None
+    for b in batches:
+        for i in range(b.num_rows):
+            anchor, part, salt = (b.column(c)[i].as_py() for c in ("anchor", "part", "salt"))
+            if held and (anchor, part) != last:
+                yield from merge(held)
+                held = []
+            held.append((anchor, part, salt, *(b.column(c)[i].values.to_numpy() for c in ("windows", "at"))))
+            last = anchor, part
+    if held:
+        yield from merge(held)
+
+
+def sharing_documents(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """id, tie of the documents (keyed, text) that have a passage of this many words in common with another.
+
+    Runs of windows of words with one anchor, as those of bytes. Runs of one class in two documents settle it; windows of
+    the other runs of anchors in two documents are counted one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "tie", "anchor", "k1", "k2", "windows"]
+        for b in text_slices(batches):
+            hashes, _, _, first = word_hashes(*text_bytes(b.column("text")))
+            doc, lo, n, anchor, k1, k2 = runs_of(hashes, first, words, gram)
+            at = ragged(first[:-1][doc] + lo, n)
+            windows = mix64(range_hash(prefix_hash(hashes), at, at + words)).view(np.int64) if len(at) else at
+            ids = [b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tie")]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, anchor, k1, k2)), pa.ListArray.from_arrays(offsets, pa.array(windows))], names)
+
+    rows, _ = staged(docs.select("id", "tie", "text").where(F.octet_length("text") >= 2 * words - 1).mapInArrow(run, f"{KEY}, anchor bigint, k1 bigint, k2 bigint, windows array<bigint>"), "passages")
+    key, who = ["anchor", "k1", "k2"], F.struct("id", "tie")
+    classes = rows.groupBy(*key).agg(F.min(who).alias("least"), F.max(who).alias("most"))
+    classes, _ = staged(classes.select(*key, (F.col("least") != F.col("most")).alias("shared"), F.col("least.id").alias("i"), F.col("least.tie").alias("t")), "kinds")
+    same = rows.join(classes.where("shared").select(*key), key, "left_semi").select("id", "tie")
+    open_ = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.bool_and("shared").alias("all")).where("m > 1 and not all").select("anchor")
+    # One document stands for a class that is settled.
+    each = rows.join(open_, "anchor", "left_semi").join(classes, key).where("not shared or (id = i and tie = t)")
+    each = each.select("id", "tie", "shared", F.explode("windows").alias("window"))
+    both = each.groupBy("window").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least != most").select("window")
+    return same.union(each.where("not shared").join(both, "window", "left_semi").select("id", "tie")).distinct()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for every row of docs (doc_id, text)."""
+    return _removed(_keyed(docs), length).drop("shares_passage")
+
+
+def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (boolean) for every row of docs (doc_id, text)."""
     keyed = _keyed(docs)
+    return _removed(keyed, length, sharing_documents(keyed)).drop("kept")
+
+
+def _removed(keyed: DataFrame, length: int, sharing: DataFrame | None = None) -> DataFrame:
     found = repeated_intervals(keyed, length).groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("found"))
+    shares = F.lit(False)
+    rows = keyed.join(found, ["id", "tie"], "left")
+    if sharing is not None:
+        rows, shares = rows.join(sharing.withColumn("shares", F.lit(True)), ["id", "tie"], "left"), F.coalesce("shares", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shares_passage"]
         for b in text_slices(batches):
             size, removed, spans, digest, kept = byte_lengths(b.column("text")), [], [], [], []
             lists = b.column("found")
@@ -324,7 +422,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     cuts = [0, *np.stack([begin, end], axis=1).reshape(-1).tolist(), int(size[i])]
                     kept.append(b"".join(raw[cuts[k] : cuts[k + 1]] for k in range(0, len(cuts), 2)))
                 digest.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()), b.column("shares")], names)
 
-    rows = keyed.join(found, ["id", "tie"], "left").select("doc_id", "text", "found")
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return rows.select("doc_id", "text", "found", shares.alias("shares")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, shares_passage boolean")

@@ -197,3 +197,53 @@ def test_near_pairs_inside_a_crowd(spark):
 @pytest.mark.parametrize("percent, least", [(85, 41), (80, 36), (100, 64)])
 def test_least_common_follows_the_threshold(percent, least):
     assert neardup.least_common(percent) == least
+
+
+def test_suffix_arrays_of_many_texts():
+    """The order of all suffixes, ends before bytes, and the common prefixes of neighbours within their texts."""
+    rng = np.random.default_rng(1)
+    texts = [b"ab" * 20, b"ab" * 20, b"", b"\0\0\0", b"\0\0", b"b\0", bytes(rng.integers(0, 3, 200, dtype=np.uint8)), b"aaaaaaaaaaaaaaaaa"]
+    order, stop, text = substrings.sorted_suffixes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    symbols = [[b + len(texts) for b in t] + [k] for k, t in enumerate(texts)]
+    flat = [x for t in symbols for x in t]
+    assert order.tolist() == sorted(range(len(flat)), key=lambda i: flat[i : stop[i] + 1])
+    before, common = substrings.common_prefixes(order, stop, text)
+    for i, j in zip(order[1:].tolist(), order.tolist()):
+        k = 0
+        while flat[i + k] == flat[j + k]:
+            k += 1
+        assert (before[i], common[i]) == (j, k)
+
+
+def brute_sharing(rows, words=51):
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+        for s in range(len(w) - words + 1):
+            seen[tuple(w[s : s + words])].add(i)
+    return {i for ids in seen.values() if len(ids) > 1 for i in ids}
+
+
+def test_shared_passages_against_brute_force(spark, data, rows):
+    got = {r.doc_id for r in QUERIES["op6_substrings"](spark, data).where("shares_passage").collect()}
+    assert got == brute_sharing(rows) and got
+
+
+def test_shared_passages_of_just_enough_words(spark):
+    """51 words are shared, 50 are not, nor those that one document repeats; a passage that many hold counts for all."""
+    rng = random.Random(8)
+    p, q, r, many = (prose(rng, n).split() for n in (51, 50, 60, 55))
+    texts = [prose(rng, 40).split() + p + prose(rng, 9).split(), p + prose(rng, 70).split(), prose(rng, 30).split() + q, q + prose(rng, 30).split(), r + ["and"] + r, r[:50]]
+    texts += [prose(rng, rng.randrange(30)).split() + many + prose(rng, rng.randrange(30)).split() for _ in range(40)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = substrings._keyed(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {x.id for x in substrings.sharing_documents(df).collect()}
+    assert got == brute_sharing(docs) == {0, 1, *range(6, 46)}
+
+
+def test_words_of_one_pattern_do_not_collide(spark):
+    """Two words of 1,024 letters, each the other with its letters swapped, in the order in which polynomial hashes collide."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    swapped = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, swapped), (3, word * 5), (4, swapped * 5)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(i, i) for i in (1, 2, 3, 4)}
