@@ -1,14 +1,19 @@
 """Personal data: base patterns, and bootstrapped contextual extraction that finds further identifiers.
 
-Base entities (email, ip, card, phone) and long hexadecimal keys are seeds. The words before a seed are a lexical
-pattern. Other tokens that look like identifiers (a digit or @ in five or more characters) are instances too. Spark
-scores the graph of patterns and instances in rounds: a pattern's confidence is the mean score of its distinct
-instances if enough of them are trusted, an instance's score is one less the chance that all its confident patterns err,
-and seeds stay at one. Identifiers that a confident pattern introduces are added as spans of kind `found`, keys as `key`.
-All of it is Spark expressions and joins; texts are read once, and only spans with their contexts go on.
+Seeds are base entities (email, ip, card, phone) and all but one in HELD of the long hexadecimal keys, by hash. What
+stands around a seed gives lexical patterns: one, two or three words before it, one after it, and what touches it on both
+sides. Other tokens that look like identifiers (a digit or @ in five or more characters) and the keys held back are
+instances too. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the share that the
+scores of its distinct instances have of all that it introduces, ordinary words among them, if enough instances are
+trusted; an instance's score is one less the chance that all its confident patterns err; seeds stay at one. Identifiers
+that a confident pattern introduces are spans of kind `found`. Keys that none introduces stay spans of kind `key`.
+All of it is Spark expressions and joins; only spans with their contexts and counts of words go on from the texts.
+
+Ordinary words are counted for patterns of one word; they would make patterns like `the` of ordinary prose seem sure.
 
 Defined results: a null text is an empty one without spans; repeated rows keep their rows, and count once in the graph
-as equal contexts and instances; an empty table gives an empty result; other columns are ignored.
+as equal contexts and instances (the words around count each time); texts of any length are read whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ BASE = {
 KEY = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{5,}+"
 BYTE_OF_IP = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-CONTEXT = 32
+#: Characters before and after a span that hold its context; of keys, one in so many is held back from the seeds.
+CONTEXT = 64
+HELD = 4
 ROUNDS = 3
 MIN_SUPPORT, MIN_CONFIDENCE = 3.0, 0.6
 SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
@@ -92,11 +99,35 @@ def _valid_span(kind: str):
     return check
 
 
-def context(text: Column, start: Column) -> Column:
-    """The last words before start, in lower case and with digits alike."""
+def _alike(text: Column) -> Column:
+    """In lower case, all digits alike."""
+    return F.translate(F.lower(text), "123456789", "000000000")
+
+
+def patterns(text: Column, start: Column, end: Column) -> Column:
+    """Lexical patterns of a span: kind of context and the context, those that its surroundings have."""
     lo = F.greatest(start - CONTEXT, F.lit(0))
-    before = F.substring(text, lo + 1, start - lo)
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"((?:\S+\s+){0,2}\S*)$", 1)), "[0-9]", "0")
+    before = _alike(F.substring(text, lo + 1, start - lo))
+    after = _alike(F.substring(text, end + 1, F.lit(CONTEXT)))
+    words = [F.regexp_extract(before, rf"((?:\S+\s+){{{n}}}\S*)$", 1) for n in (1, 2, 3)]
+    touch, trail = F.regexp_extract(before, r"(\S*)$", 1), F.regexp_extract(after, r"^([^\p{L}\p{N}\s]*)(?:\s|$)", 1)
+    follow = F.regexp_extract(after, r"^([^\p{L}\p{N}\s]*\s+\S+)(?:\s|$)", 1)
+    near = [F.regexp_replace(w, r"\s+", " ") for w in words]
+    found = [F.when(n != "", F.concat(F.lit(f"{k} "), n)) for k, n in enumerate(near, 1)]
+    found.append(F.when(follow != "", F.concat(F.lit("r "), F.regexp_replace(follow, r"\s+", " "))))
+    found.append(F.when((touch != "") & (trail != ""), F.concat(F.lit("b "), near[0], F.lit(" \u2026 "), trail)))
+    return F.array_compact(F.array(*found))
+
+
+def word_contexts(docs: DataFrame) -> DataFrame:
+    """pattern, others: how many ordinary words (no digit, no @) stand in each context of one word."""
+    # As a column of its own: in the lambda, the text would be split again for each word.
+    ws = F.col("ws")
+    each = docs.select(F.split(_alike(F.coalesce("text", F.lit(""))), r"\s+").alias("ws")).select(F.explode(F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after")))).alias("x")).select("x.*")
+    each = each.where(~F.contains("w", F.lit("0")) & ~F.contains("w", F.lit("@")) & F.col("w").rlike(r"\p{L}"))
+    left = F.concat(F.lit("1 "), "before", F.lit(" "), F.regexp_extract("w", r"^(?:.*[=:\"'(<\[|])?[^\p{L}]*", 0))
+    right = F.concat(F.lit("r "), F.regexp_extract("w", r"(?<![^\p{L}])[^\p{L}]*+$", 0), F.lit(" "), "after")
+    return each.select(F.explode(F.array_compact(F.array(left, right))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("others"))
 
 
 def joined(spans: Column) -> Column:
@@ -115,18 +146,27 @@ def extracted(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("keys", F.filter("s_key", apart("base")))
     rows = rows.withColumn("taken", F.concat("base", "keys"))
     rows = rows.withColumn("more", F.concat("keys", F.filter("s_token", apart("taken"))))
-    placed_all = F.transform(F.concat("base", "more"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), context(F.col("text"), s["start"]).alias("pattern")))
+    placed_all = F.transform(F.concat("base", "more"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), patterns(F.col("text"), s["start"], s["end"]).alias("patterns")))
     return rows.select("doc_id", F.monotonically_increasing_id().alias("key"), "base", placed_all.alias("spans"))
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """pattern, confidence of the patterns trusted after the last round, from edges (pattern, instance, seed)."""
-    edges = checkpointed(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, others: DataFrame | None = None) -> DataFrame:
+    """pattern, confidence of the patterns trusted after the last round, from edges (pattern, instance, seed).
+
+    `others` (pattern, others) counts what a pattern introduces besides instances.
+    """
+    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    # A pattern with too few instances is never trusted, whatever their scores.
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    if others is not None:
+        enough = enough.join(others, "pattern", "left").withColumn("n", F.col("n") + F.coalesce("others", F.lit(0))).drop("others")
+    enough = checkpointed(enough)
+    edges = checkpointed(edges.join(enough.select("pattern"), "pattern", "left_semi"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     good = None
     for r in range(rounds):
         # An instance vouches for a pattern by what other evidence says of it; seeds by themselves.
-        support = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.count("*").alias("n"))
+        support = scored.groupBy("pattern").agg(F.sum("score").alias("support")).join(enough, "pattern")
         good = checkpointed(support.select("pattern", "support", (F.col("support") / F.col("n")).alias("confidence")).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)))
         if r + 1 < rounds:
             trust = edges.join(good, "pattern").groupBy("instance").agg((1 - F.product(1 - F.least("confidence", F.lit(0.99)))).alias("trust"))
@@ -134,18 +174,33 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_support: floa
     return good.select("pattern", "confidence")
 
 
+def held_back(kind: Column, instance: Column) -> Column:
+    """Whether a span must be found by its context: tokens, and one key in HELD."""
+    return (kind == "token") | ((kind == "key") & (F.pmod(F.xxhash64(F.lit("seed"), instance), F.lit(HELD)) == 0))
+
+
+def discovered(each: DataFrame, others: DataFrame | None = None, held=held_back) -> DataFrame:
+    """key, kind, start, end, found (boolean) of the spans that are not seeds, from each (key, kind, start, end, instance, patterns)."""
+    edges = each.select(F.explode("patterns").alias("pattern"), "instance", (~held(F.col("kind"), F.col("instance"))).alias("seed"))
+    good = confident_patterns(edges, others=others)
+    open_ = each.where(held(F.col("kind"), F.col("instance"))).select("key", "kind", "start", "end", F.explode_outer("patterns").alias("pattern"))
+    met = open_.join(good, "pattern", "left").groupBy("key", "kind", "start", "end").agg(F.max("confidence").alias("confidence"))
+    return met.select("key", "kind", "start", "end", F.col("confidence").isNotNull().alias("found"))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more for every row of docs (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_found, personal for every row of docs (doc_id, text)."""
     rows, _ = staged(extracted(docs), "spans")
     each = rows.select("key", F.explode("spans").alias("s")).select("key", "s.*")
-    seed = F.col("kind") != "token"
-    good = confident_patterns(each.where("pattern <> ''").select("pattern", "instance", seed.alias("seed")))
-    keys = each.where("kind = 'key'").select("key", "kind", "start", "end")
-    found = each.where("kind = 'token'").join(good, "pattern", "left_semi").select("key", F.lit("found").alias("kind"), "start", "end")
-    more = keys.union(found).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "key", 0).otherwise(1).alias("o"), "start", "end", "kind"))).alias("more"))
+    found = discovered(each, word_contexts(docs.select("text"))).where("kind = 'key' or found")
+    seeds = each.where((F.col("kind") == "key") & ~held_back(F.col("kind"), F.col("instance"))).select("key", "kind", "start", "end")
+    more = seeds.union(found.select("key", F.when(F.col("found"), "found").otherwise(F.col("kind")).alias("kind"), "start", "end"))
+    more = more.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "key", 0).otherwise(1).alias("o"), "start", "end", "kind"))).alias("more"))
     out = rows.join(more, "key", "left").withColumn("more", F.coalesce(F.transform("more", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     out = out.withColumn("base", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return out.select("doc_id", *[F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in BASE], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("bigint").alias("n_more"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in BASE]
+    extra = [F.size("more").cast("bigint").alias("n_more"), F.size(F.filter("more", _of_kind("found"))).cast("bigint").alias("n_found"), ((F.size("base") > 0) | (F.size("more") > 0)).alias("personal")]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), *extra)
 
 
 def _of_kind(kind: str):

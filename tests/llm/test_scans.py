@@ -65,6 +65,60 @@ def test_graph_rounds_by_hand(spark):
     assert one == {"p"} and two == {"p", "q"}
 
 
+def brute_contexts(text):
+    out = collections.Counter()
+    w = re.split(r"\s+", re.sub("[1-9]", "0", text.lower()))
+    for i, x in enumerate(w):
+        if "0" in x or "@" in x or not re.search(r"[^\W\d_]", x):
+            continue
+        if i:
+            out[f"1 {w[i - 1]} " + re.match(r"(?:.*[=:\"'(<\[|])?(?:[\W\d_])*", x)[0]] += 1
+        if i + 1 < len(w):
+            out["r " + re.search(r"[\W\d_]*$", x)[0] + f" {w[i + 1]}"] += 1
+    return out
+
+
+def test_ordinary_words_in_contexts(spark):
+    texts = ["The key=value is, the  end. 12 a@b.c x", "", "one", "mail to: \"Bob\" (and) co.\nnext", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.pattern: r.others for r in pii.word_contexts(df).collect()}
+    assert got == dict(sum((brute_contexts(t) for t in texts if t), collections.Counter()))
+
+
+def test_held_back_identifiers_are_found_again(spark):
+    """Of four kinds of telling contexts, a third of the entities are hidden: all but those in prose are found again, no other number is."""
+    rng = __import__("random").Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24)) + "0z"
+    rows, hidden, plain = [], set(), set()
+    for i in range(120):
+        left, right, value = " ".join(word() for _ in range(9)), " ".join(word() for _ in range(9)), secret()
+        way = [f'api_token = "{value}"', f"the account no: {value}", f"{value}) signed", f"send it to {value}"][i % 4]
+        rows.append((i, f"{left} {way} {right}"))
+        rows.append((1000 + i, f"{left} the {word()} of {rng.randrange(10**5, 10**6)} {right} to {word()} and to {word()}"))
+        if i % 3 == 0:
+            hidden.add(value)
+        plain.add(value)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rows, _ = pii.staged(pii.extracted(docs), "spans")
+    each = rows.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.*")
+    held = lambda kind, instance: ~instance.isin(*(plain - hidden))
+    got = pii.discovered(each, pii.word_contexts(docs), held).join(each, ["key", "kind", "start", "end"]).where("found").collect()
+    again = {r.instance for r in got}
+    assert again <= hidden
+    assert len(again & hidden) / len(hidden) >= 0.7
+
+
+def test_keys_held_back_are_found_by_context(spark):
+    texts = [f'words before token = "{i:040x}" and after' for i in range(1 << 60, (1 << 60) + 60)] + [f"{hashlib.md5(str(i).encode()).hexdigest()[:9]} {i:040x}" for i in range(1 << 50, (1 << 50) + 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    assert all(r.n_more == 1 and r.personal for r in got.values())
+    found = [i for i, r in got.items() if r.n_found]
+    assert all(i < 60 for i in found) and 8 <= len(found) <= 25
+    assert {got[i].spans.split(":")[0] for i in found} == {"found"}
+
+
 def test_odd_personal_data(odd, none):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count()
