@@ -13,7 +13,8 @@
    by binary search at the bounds of as many ranges; whoever merges a range looks each list up in the others by binary
    search.
 
-Documents that share a passage of more than 50 words are found alike, on words in place of bytes, in step 1.
+Documents that share a passage of more than 50 words are found alike, on words in place of bytes: classes of runs settle
+most of them, and windows of the rest are counted.
 
 Defined results: a null or short text keeps all its bytes; repeated rows are documents that repeat each other; an empty
 table gives an empty result; texts of any length are read whole, their bodies in bounded batches; other columns are ignored.
@@ -349,33 +350,67 @@ def _merged_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from merge(held)
 
 
-def sharing_documents(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
-    """id, tie of the documents (keyed, text) that have a passage of this many words in common with another.
+def _passage_runs(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """Runs of windows of words: document, place, anchor, digest, and probes.
 
-    Runs of windows of words with one anchor, as those of bytes. Runs of one class in two documents settle it; windows of
-    the other runs of anchors in two documents are counted one by one.
+    Every window holds half of what it may have besides its anchor on one side of it: the anchor with these words is a
+    probe, the left one or the right one, null where no window of the run has it.
     """
+    half = (words - gram + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "tie", "anchor", "k1", "k2", "windows"]
+        names = ["id", "tie", "place", "anchor", "kind", "left", "right"]
         for b in text_slices(batches):
             hashes, _, _, first = word_hashes(*text_bytes(b.column("text")))
-            doc, lo, n, anchor, k1, k2 = runs_of(hashes, first, words, gram)
-            at = ragged(first[:-1][doc] + lo, n)
-            windows = mix64(range_hash(prefix_hash(hashes), at, at + words)).view(np.int64) if len(at) else at
+            doc, lo, n, anchor, kind, _ = runs_of(hashes, first, words, gram)
+            begin, prefix = first[:-1][doc] + lo, prefix_hash(hashes)
+            # The anchor's place: the first gram of its hash that all windows of the run hold.
+            at = ragged(begin + n - 1, words - gram - n + 2)
+            same = mix64(range_hash(prefix, at, at + gram)).view(np.int64) == np.repeat(anchor, words - gram - n + 2)
+            at, of = at[same], np.repeat(np.arange(len(n)), words - gram - n + 2)[same]
+            at = at[np.append(True, of[1:] != of[:-1])] if len(at) else at
+            probes = []
+            for salt, lo_, hi in ((1, at - half, at + gram), (2, at, at + gram + half)):
+                inside = (lo_ >= begin) & (hi <= begin + n + words - 1)
+                h = mix64(range_hash(prefix, np.where(inside, lo_, 0), np.where(inside, hi, 0)) + np.uint64(salt)).view(np.int64)
+                probes.append(pa.array(h, mask=~inside))
             ids = [b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "tie")]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, anchor, k1, k2)), pa.ListArray.from_arrays(offsets, pa.array(windows))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, lo * RUN + n, anchor, kind)), *probes], names)
+
+    rows = docs.select("id", "tie", "text").where(F.octet_length("text") >= 2 * words - 1)
+    return rows.mapInArrow(run, f"{KEY}, place bigint, anchor bigint, kind bigint, left bigint, right bigint")
 
-    rows, _ = staged(docs.select("id", "tie", "text").where(F.octet_length("text") >= 2 * words - 1).mapInArrow(run, f"{KEY}, anchor bigint, k1 bigint, k2 bigint, windows array<bigint>"), "passages")
-    key, who = ["anchor", "k1", "k2"], F.struct("id", "tie")
-    classes = rows.groupBy(*key).agg(F.min(who).alias("least"), F.max(who).alias("most"))
-    classes, _ = staged(classes.select(*key, (F.col("least") != F.col("most")).alias("shared"), F.col("least.id").alias("i"), F.col("least.tie").alias("t")), "kinds")
+
+def sharing_documents(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """id, tie of the documents (keyed, text) that have a passage of this many words in common with another.
+
+    Runs of windows of words with one anchor, as those of bytes. A class of runs in two documents settles these. Of the
+    others, those that share a probe with another class are open, and their windows are counted one by one.
+    """
+    rows, _ = staged(_passage_runs(docs, words, gram), "passages")
+    key, who = ["anchor", "kind"], F.struct("id", "tie")
+    # One document stands for a class.
+    classes = rows.groupBy(*key).agg(F.min(F.struct("id", "tie", "place", "left", "right")).alias("least"), F.max(who).alias("most"))
+    shared = (F.col("least.id") != F.col("most.id")) | (F.col("least.tie") != F.col("most.tie"))
+    classes, _ = staged(classes.select(*key, "least.*", shared.alias("shared")), "kinds")
     same = rows.join(classes.where("shared").select(*key), key, "left_semi").select("id", "tie")
-    open_ = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.bool_and("shared").alias("all")).where("m > 1 and not all").select("anchor")
-    # One document stands for a class that is settled.
-    each = rows.join(open_, "anchor", "left_semi").join(classes, key).where("not shared or (id = i and tie = t)")
-    each = each.select("id", "tie", "shared", F.explode("windows").alias("window"))
+    probes = classes.select("id", "tie", "place", "shared", F.explode(F.array_compact(F.array("left", "right"))).alias("probe"))
+    met = probes.groupBy("probe").agg(F.count("*").alias("m"), F.bool_and("shared").alias("settled")).where("m > 1 and not settled").select("probe")
+    wanted = probes.join(met, "probe", "left_semi").select("id", "tie", "place", "shared").distinct().groupBy("id", "tie").agg(F.collect_list(F.struct("place", "shared")).alias("runs"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            hashes, _, _, first = word_hashes(*text_bytes(b.column("text")))
+            runs = b.column("runs")
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(runs).to_numpy())
+            place, settled = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+            lo, n = place >> RUN_BITS, place & (RUN - 1)
+            at, of = ragged(first[:-1][doc] + lo, n), np.repeat(np.arange(len(n)), n)
+            h = mix64(range_hash(prefix_hash(hashes), at, at + words)).view(np.int64)
+            ids = [b.column(c).to_numpy(zero_copy_only=False)[doc][of] for c in ("id", "tie")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, settled[of], h))], ["id", "tie", "shared", "window"])
+
+    each, _ = staged(docs.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "runs").mapInArrow(windows, f"{KEY}, shared boolean, window bigint"), "windows")
     both = each.groupBy("window").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least != most").select("window")
     return same.union(each.where("not shared").join(both, "window", "left_semi").select("id", "tie")).distinct()
 
