@@ -114,6 +114,47 @@ def test_fingerprints_are_multiset_hashes(spark):
     assert out["sum"] == f[0] and out["less"] == f[2]
 
 
+def test_likeness_from_printed_fingerprints(spark, data, rows):
+    """What is printed decides: decoded here by hand, and near the share of word pairs in common."""
+    got = {r.doc_id: r for r in QUERIES["op8_fingerprints"](spark, data).collect()}
+
+    def lanes(f):
+        n, at = int(f[64:72], 16), 72
+        m = np.array([int(f[k : k + 4], 16) for k in range(at, len(f), 4)], float)
+        return 2 * (m + np.round((n / 2 - m) / 65536) * 65536) - n
+
+    def pairs(text):
+        return collections.Counter(p for line in text.split("\n") for p in zip(line.split(" "), [*line.split(" ")[1:], None]))
+
+    prints = {i: r.fingerprint for i, r in got.items()}
+    apart = []
+    for k, (i, text) in enumerate(rows):
+        j, other = rows[(k + 1) % len(rows)]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        for a, b, near, x, y in ((prints[i], got[i].edited_fingerprint, got[i].near_edited, text, edited), (prints[i], prints[j], got[i].near_next, text, other)):
+            la, lb = lanes(a), lanes(b)
+            want = 1.0 if a == b else min(max(la @ lb / np.sqrt((la @ la) * (lb @ lb)), 0), 1)
+            assert near == pytest.approx(want, abs=1e-9)
+            p, q = pairs(x), pairs(y)
+            norm = np.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
+            apart.append(abs(near - sum(v * q[w] for w, v in p.items()) / norm))
+    assert np.mean(apart) < 0.08
+    row = spark.createDataFrame([(prints[rows[0][0]], prints[rows[1][0]])], "a string, b string")
+    assert row.select(fingerprint.fingerprint_likeness(F.col("a"), F.col("b"))).first()[0] == pytest.approx(got[rows[0][0]].near_next)
+
+
+def test_lanes_of_long_texts_wrap(spark):
+    """A text of many chunks: the sum of its halves, and the mean of its lanes stays near none."""
+    words = [f"w{i * i % 70_001}" for i in range(70_000)]
+    half = len(words) // 2
+    texts = [" ".join(words[:half]) + "\n" + " ".join(words[half:]), " ".join(words[:half]), " ".join(words[half:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
+    row = spark.createDataFrame([(got[1].fingerprint, got[2].fingerprint)], "a string, b string")
+    assert row.select(fingerprint.add_paragraphs(F.col("a"), F.col("b"))).first()[0] == got[0].fingerprint
+    assert np.allclose(np.array(got[0].lanes), np.array(got[1].lanes) + np.array(got[2].lanes))
+
+
 def test_odd_fingerprints(odd, none, spark):
     got = fingerprint.fingerprint_report(odd).collect()
     assert len(got) == odd.count() and len({r.fingerprint for r in got if r.doc_id in (2, 3)}) == 1
