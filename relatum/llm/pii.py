@@ -2,14 +2,14 @@
 
 Seeds are base entities (email, ip, card, phone) and all but one in HELD of the long hexadecimal keys, by hash. What
 stands around a seed gives lexical patterns: one, two or three words before it, one after it, and what touches it on both
-sides. Other tokens that look like identifiers (a digit or @ in five or more characters) and the keys held back are
+sides; those of one word need a mark besides. Other tokens that look like identifiers (a digit or @ in five or more characters) and the keys held back are
 instances too. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the share that the
 scores of its distinct instances have of all that it introduces, ordinary words among them, if enough instances are
 trusted; an instance's score is one less the chance that all its confident patterns err; seeds stay at one. Identifiers
 that a confident pattern introduces are spans of kind `found`. Keys that none introduces stay spans of kind `key`.
 All of it is Spark expressions and joins; only spans with their contexts and counts of words go on from the texts.
 
-Ordinary words are counted for patterns of one word; they would make patterns like `the` of ordinary prose seem sure.
+Ordinary words are counted for patterns of one word; without them, marks of ordinary prose would seem sure.
 
 Defined results: a null text is an empty one without spans; repeated rows keep their rows, and count once in the graph
 as equal contexts and instances (the words around count each time); texts of any length are read whole; an empty table
@@ -104,6 +104,16 @@ def _alike(text: Column) -> Column:
     return F.translate(F.lower(text), "123456789", "000000000")
 
 
+#: Marks that may tell what follows them; a pattern of one word needs one, or to touch the span, as plain words say nothing.
+MARKS = ":=#>|("
+#: Ordinary words with a mark before them, or after them, and what stands there; a word with a digit or @ is none, nor one
+#: of more characters than WORD. What is captured is looked ahead at, so that each word can be part of two contexts.
+WORD = 200
+PLAIN = rf"(?!\S*[0@])(?=\S{{1,{WORD}}}(?!\S))"
+LEFT = rf"(?<!\S)(?=(\S{{1,{CONTEXT}}}(?:\s+{PLAIN}(?:\S*[=:\"'(<\[|](?=\S*\p{{L}})[^\p{{L}}\s]*|[^\p{{L}}\s]+)|(?<=[{MARKS}])\s+{PLAIN}))\p{{L}})\S+"
+RIGHT = rf"(?<!\S)(?={PLAIN}\S*\p{{L}}([^\p{{L}}\s]+\s+\S{{1,{CONTEXT}}}(?!\S)))\S+"
+
+
 def patterns(text: Column, start: Column, end: Column) -> Column:
     """Lexical patterns of a span: kind of context and the context, those that its surroundings have."""
     lo = F.greatest(start - CONTEXT, F.lit(0))
@@ -111,23 +121,24 @@ def patterns(text: Column, start: Column, end: Column) -> Column:
     after = _alike(F.substring(text, end + 1, F.lit(CONTEXT)))
     words = [F.regexp_extract(before, rf"((?:\S+\s+){{{n}}}\S*)$", 1) for n in (1, 2, 3)]
     touch, trail = F.regexp_extract(before, r"(\S*)$", 1), F.regexp_extract(after, r"^([^\p{L}\p{N}\s]*)(?:\s|$)", 1)
-    follow = F.regexp_extract(after, r"^([^\p{L}\p{N}\s]*\s+\S+)(?:\s|$)", 1)
+    follow = F.regexp_extract(after, r"^([^\p{L}\p{N}\s]+\s+\S+)(?:\s|$)", 1)
     near = [F.regexp_replace(w, r"\s+", " ") for w in words]
-    found = [F.when(n != "", F.concat(F.lit(f"{k} "), n)) for k, n in enumerate(near, 1)]
+    marked = before.rlike(rf"\S$|[{MARKS}]\s+$")
+    found = [F.when((n != "") & (marked if k == 1 else F.lit(True)), F.concat(F.lit(f"{k} "), n)) for k, n in enumerate(near, 1)]
     found.append(F.when(follow != "", F.concat(F.lit("r "), F.regexp_replace(follow, r"\s+", " "))))
     found.append(F.when((touch != "") & (trail != ""), F.concat(F.lit("b "), near[0], F.lit(" \u2026 "), trail)))
     return F.array_compact(F.array(*found))
 
 
 def word_contexts(docs: DataFrame) -> DataFrame:
-    """pattern, others: how many ordinary words (no digit, no @) stand in each context of one word."""
-    # As a column of its own: in the lambda, the text would be split again for each word.
-    ws = F.col("ws")
-    each = docs.select(F.split(_alike(F.coalesce("text", F.lit(""))), r"\s+").alias("ws")).select(F.explode(F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after")))).alias("x")).select("x.*")
-    each = each.where(~F.contains("w", F.lit("0")) & ~F.contains("w", F.lit("@")) & F.col("w").rlike(r"\p{L}"))
-    left = F.concat(F.lit("1 "), "before", F.lit(" "), F.regexp_extract("w", r"^(?:.*[=:\"'(<\[|])?[^\p{L}]*", 0))
-    right = F.concat(F.lit("r "), F.regexp_extract("w", r"(?<![^\p{L}])[^\p{L}]*+$", 0), F.lit(" "), "after")
-    return each.select(F.explode(F.array_compact(F.array(left, right))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("others"))
+    """pattern, others: how many ordinary words stand in each context that a pattern of one word may have."""
+    text = _alike(F.coalesce("text", F.lit("")))
+
+    def all_of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(f"{kind} "), F.regexp_replace(x, r"\s+", " ")))
+
+    each = docs.select(F.explode(F.concat(all_of("1", LEFT), all_of("r", RIGHT))).alias("pattern"))
+    return each.groupBy("pattern").agg(F.count("*").alias("others"))
 
 
 def joined(spans: Column) -> Column:

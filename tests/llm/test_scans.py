@@ -66,22 +66,24 @@ def test_graph_rounds_by_hand(spark):
 
 
 def brute_contexts(text):
-    out = collections.Counter()
-    w = re.split(r"\s+", re.sub("[1-9]", "0", text.lower()))
+    out, w = collections.Counter(), re.split(r"\s+", re.sub("[1-9]", "0", text.lower()).strip())
     for i, x in enumerate(w):
         if "0" in x or "@" in x or not re.search(r"[^\W\d_]", x):
             continue
-        if i:
-            out[f"1 {w[i - 1]} " + re.match(r"(?:.*[=:\"'(<\[|])?(?:[\W\d_])*", x)[0]] += 1
-        if i + 1 < len(w):
-            out["r " + re.search(r"[\W\d_]*$", x)[0] + f" {w[i + 1]}"] += 1
+        glue, trail = re.match(r"(?:.*[=:\"'(<\[|](?=.*[^\W\d_]))?(?:[\W\d_])*", x)[0], re.search(r"[\W\d_]*$", x)[0]
+        if i and (glue or w[i - 1][-1] in pii.MARKS):
+            out[f"1 {w[i - 1]} {glue}"] += 1
+        if i + 1 < len(w) and trail:
+            out[f"r {trail} {w[i + 1]}"] += 1
     return out
 
 
-def test_ordinary_words_in_contexts(spark):
-    texts = ["The key=value is, the  end. 12 a@b.c x", "", "one", "mail to: \"Bob\" (and) co.\nnext", None]
+def test_ordinary_words_in_contexts(spark, rows):
+    texts = ["The key=value is, the  end. 12 a@b.c x (so) it", "to: bob # and | one > two : \"three\" four", "", "one", "mail to: \"Bob\" (and) (co.)\nnext", "a=b=c d:e: f", None]
+    texts += [t for _, t in rows if len(t) < 2000]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {r.pattern: r.others for r in pii.word_contexts(df).collect()}
+    assert {"1 the key=", "1 to: ", "1 # ", "r , the", "r ) it", 'r " four'} <= set(got)
     assert got == dict(sum((brute_contexts(t) for t in texts if t), collections.Counter()))
 
 
