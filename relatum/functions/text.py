@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,14 @@ STOP_WORDS = {
 UNFIT = (r"(?i)(?:EMPLOYMENT|CONTRACT|SALARY|EMPLOYER|INVOICE|LICENSE)", r"\\[a-z]\d", r"(?i)[0-9a-f]{8,}", r"https?://", r"@gmail|@yahoo|@hotmail", r"(?i)(?:Apache|GPL|MIT) License", r"^\s*[0-9\s.,-]+\s*$")
 
 
-def words(text: Column) -> Column:
-    """Non-empty pieces between Unicode white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words(text: Column, most: int = -1) -> Column:
+    """Non-empty pieces between Unicode white space; with `most`, at least the first so many."""
+    return F.array_remove(F.split(text, r"(?U)\s+", most + 2 if most >= 0 else -1), "")
 
 
 def word_count(text: Column) -> Column:
@@ -27,17 +34,19 @@ def word_count(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """en, de, fr or es by the share of frequent words in the first 500; null below 10 words or a share of 0.02."""
-    first = F.slice(words(F.lower(text)), 1, 500)
-    share = {k: _share(first, v) for k, v in STOP_WORDS.items()}
-    top = F.greatest(*share.values())
-    out = None
-    for k, s in share.items():
-        out = F.when(s == top, k) if out is None else out.when(s == top, k)
-    return F.when((F.size(first) >= 10) & (top >= 0.02), out)
+    counts = lambda ws: F.struct(F.size(ws).alias("n"), *[F.size(F.filter(ws, _among(v))).alias(k) for k, v in STOP_WORDS.items()])
+    return once(once(F.slice(words(F.lower(text), 500), 1, 500), counts), _likeliest)
+
 
+def _among(known: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*known)
 
-def _share(first: Column, known: list[str]) -> Column:
-    return F.size(F.filter(first, lambda w: w.isin(*known))) / F.greatest(F.size(first), F.lit(1))
+
+def _likeliest(c: Column) -> Column:
+    top, out = F.greatest(*[c[k] for k in STOP_WORDS]), None
+    for k in STOP_WORDS:
+        out = F.when(c[k] == top, k) if out is None else out.when(c[k] == top, k)
+    return F.when((c["n"] >= 10) & (top / F.greatest(c["n"], F.lit(1)) >= 0.02), out)
 
 
 def byte_prefix(text: Column, most: int = 50_000) -> Column:
@@ -50,10 +59,13 @@ def byte_prefix(text: Column, most: int = 50_000) -> Column:
 
 def chunks(text: Column, size: int = 200, stride: int = 170, most: int = 20) -> Column:
     """array<struct<i, text, n>>: overlapping runs of words; a text of one run stays as it is, trimmed."""
-    w = words(text)
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride)), 1, most)
-    many = F.transform(starts, lambda s, i: F.struct(i.alias("i"), F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(F.size(w) - s, F.lit(size)).alias("n")))
-    return F.when(F.size(w) <= size, F.array(F.struct(F.lit(0).alias("i"), F.trim(text).alias("text"), F.size(w).alias("n")))).otherwise(many)
+
+    def cut(w: Column) -> Column:
+        starts = F.slice(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride)), 1, most)
+        many = F.transform(starts, lambda s, i: F.struct(i.alias("i"), F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(F.size(w) - s, F.lit(size)).alias("n")))
+        return F.when(F.size(w) <= size, F.array(F.struct(F.lit(0).alias("i"), F.trim(text).alias("text"), F.size(w).alias("n")))).otherwise(many)
+
+    return once(words(text), cut)
 
 
 def segment_id(path: Column, kind: Column, key: Column) -> Column:

@@ -38,8 +38,9 @@ def with_meta(files: DataFrame, meta: DataFrame, name: str) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """current with changes applied; of several changes of a key the greatest `order` wins. Columns are those of current."""
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*current.columns), order).alias("r")).select("r.*")
+    """current with changes applied; of several changes of a key the greatest `order` wins, of equal ones the greatest row."""
+    row = F.struct(*current.columns)
+    latest = changes.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(order), row)).alias("r")).select("r.*")
     return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(latest)
 
 
@@ -144,19 +145,26 @@ def folder_siblings(files: DataFrame, limit: int) -> DataFrame:
 
 
 def session_siblings(files: DataFrame, window_seconds: int, limit: int) -> DataFrame:
-    """path, sibling, gap, rank: files of the same folder within the window, nearest first.
+    """path, sibling, gap, rank: files of the same folder within the window, nearest first, ties by path.
 
-    Times are cut into slots of the window's width and each row meets its own and the next slot, so the band join is an
-    equi-join whose work follows the number of close pairs, not the folder's size.
+    Files of one folder and second are one group, of which the first limit + 1 can be anyone's nearest. As every group has
+    a file, those of the `limit` groups on each side are enough: work is linear in the files, however dense a folder is.
+    Folders are split into slots of the window's width, and groups visit the slots beside their own.
     """
     t = F.unix_timestamp(F.try_to_timestamp("modified_date", F.lit("yyyy-MM-dd HH:mm:ss")))
-    rows = files.select("path", "parent_folder", t.alias("t")).where("t is not null")
-    slot = F.floor(F.col("t") / window_seconds)
-    left = rows.withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    right = rows.select(F.col("path").alias("sibling"), "parent_folder", F.col("t").alias("u"), F.floor(F.col("t") / window_seconds).alias("slot"))
-    near = left.join(right, ["parent_folder", "slot"]).where((F.col("path") != F.col("sibling")) & (F.abs(F.col("t") - F.col("u")) <= window_seconds))
-    near = near.select("path", "sibling", F.abs(F.col("t") - F.col("u")).alias("gap"))
-    return first_of(near, "path", limit, F.col("gap"), F.col("sibling"))
+    rows = files.select("path", "parent_folder", t.alias("t")).where("t is not null and parent_folder is not null")
+    place = F.row_number().over(Window.partitionBy("parent_folder", "t").orderBy("path"))
+    groups = rows.withColumn("r", place).where(F.col("r") <= limit + 1).groupBy("parent_folder", "t").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    groups = groups.withColumn("home", F.floor(F.col("t") / max(window_seconds, 1)))
+    groups = groups.withColumn("slot", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
+    around = Window.partitionBy("parent_folder", "slot").orderBy("t").rowsBetween(-limit, limit)
+    groups = groups.withColumn("near", F.collect_list(F.struct("t", "paths")).over(around)).where("slot = home")
+    gap = lambda x: F.abs(x["t"] - F.col("t"))
+    reached = F.transform(F.filter("near", lambda x: gap(x) <= window_seconds), lambda x: F.transform(x["paths"], lambda p: F.struct(gap(x).alias("gap"), p.alias("sibling"))))
+    best = groups.select("parent_folder", "t", F.slice(F.array_sort(F.flatten(reached)), 1, limit + 1).alias("best"))
+    mine = F.slice(F.filter("best", lambda x: x["sibling"] != F.col("path")), 1, limit)
+    out = rows.join(best, ["parent_folder", "t"]).select("path", F.posexplode(mine).alias("i", "x"))
+    return out.select("path", "x.sibling", "x.gap", (F.col("i") + 1).alias("rank"))
 
 
 def search_filenames(files: DataFrame, query: str, extension: str | None = None, limit: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relatum.functions.axes import best_match
 from relatum.operators.access import best_segment_model, folder_siblings, group_members, segments_with_vectors, session_siblings, top_neighbors
 from relatum.operators.fulltext import search
-from relatum.sources.catalog import Catalog
+from relatum.sources.catalog import Catalog, cut
 
 #: Weight of a hit by where it was found, and of any other place.
 SOURCE_WEIGHT = {"filename": 1.0, "caption": 0.95, "title": 0.9, "album": 0.9, "artist": 0.8, "folder": 0.7, "genre": 0.6, "author": 0.6, "chunk": 0.5}
@@ -63,7 +63,7 @@ def _by(column: str, table: dict[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(other))
 
 
-def text_anchors(fts: DataFrame, query: str, limit: int = MAX_HITS, stem: bool = False) -> DataFrame:
+def text_anchors(fts: DataFrame, query: str, limit: int = MAX_HITS, stem: bool = True) -> DataFrame:
     """Edges (path, category, edge, via, weight) of full-text hits. A better rank lowers the weight, as it always did."""
     hits = search(fts, query, limit, stem)
     damp = 0.5 + 0.5 / (1 + F.least(F.abs("rank"), F.lit(10.0)) / 10)
@@ -84,31 +84,44 @@ def visual_anchors(pairs: DataFrame) -> DataFrame:
     return pairs.select("path", F.lit("anchor").alias("category"), F.lit("anchor:visual").alias("edge"), F.lit(None).cast("string").alias("via"), (F.col("similarity") * 0.6).alias("weight"))
 
 
-def static_edges(catalog: Catalog, fan_out: int = 50) -> DataFrame:
+def static_edges(catalog: Catalog, fan_out: int = 50, senders: DataFrame | None = None) -> DataFrame:
     """src, dst, category, edge, decay: all but neighbour edges; decay over the root of the edges a file has of the kind.
 
+    With `senders` (path), those of these files alone: only their folders, projects, albums and artists are looked at.
     Files count after the cut, and themselves too where their kind lists them.
     """
     files = catalog.files.select("path", "parent_folder", "modified_date")
     meta = catalog.audio_meta.select("path", "album", "artist")
+    projects = catalog.file_projects.select("path", "project_id")
+
+    def of_senders(table: DataFrame, group: str) -> DataFrame:
+        if senders is None:
+            return table
+        return table.join(table.join(senders, "path", "left_semi").select(group).distinct(), group, "left_semi")
+
+    folders = of_senders(files, "parent_folder")
     kinds = {
-        "co-folder": folder_siblings(files, 10),
-        "co-session": session_siblings(files, SESSION_SECONDS, 15).select("path", "sibling"),
-        "co-project": group_members(files, catalog.file_projects.select("path", "project_id"), "project_id", fan_out),
-        "co-album": group_members(files, meta.select("path", "album"), "album", 5),
-        "co-artist": group_members(files, meta.select("path", "artist"), "artist", 5),
+        "co-folder": folder_siblings(folders, 10),
+        "co-session": session_siblings(folders, SESSION_SECONDS, 15).select("path", "sibling"),
+        "co-project": group_members(files, of_senders(projects, "project_id"), "project_id", fan_out),
+        "co-album": group_members(files, of_senders(meta.select("path", "album"), "album"), "album", 5),
+        "co-artist": group_members(files, of_senders(meta.select("path", "artist"), "artist"), "artist", 5),
     }
     parts = []
     for kind, pairs in kinds.items():
+        pairs = pairs if senders is None else pairs.join(senders, "path", "left_semi")
         n = F.count("*").over(Window.partitionBy("path"))
         rows = pairs.withColumn("decay", F.lit(DECAY[kind]) / F.sqrt(F.greatest(n, F.lit(1)))).where(F.col("path") != F.col("sibling"))
         parts.append(rows.select(F.col("path").alias("src"), F.col("sibling").alias("dst"), F.lit(kind).alias("category"), F.lit(kind).alias("edge"), "decay"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def neighbor_edges(catalog: Catalog, limit: int = 20) -> DataFrame:
-    """src, dst, category, edge, decay of the nearest neighbours in every model's graph."""
-    top = top_neighbors(catalog.neighbors, limit).join(catalog.files.select(F.col("path").alias("path_b")), "path_b", "left_semi")
+def neighbor_edges(catalog: Catalog, limit: int = 20, senders: DataFrame | None = None) -> DataFrame:
+    """src, dst, category, edge, decay of the nearest neighbours in every model's graph (of `senders` alone if given)."""
+    graph = catalog.neighbors
+    if senders is not None:
+        graph = graph.join(senders.withColumnRenamed("path", "path_a"), "path_a", "left_semi")
+    top = top_neighbors(graph, limit).join(catalog.files.select(F.col("path").alias("path_b")), "path_b", "left_semi")
     return top.select(F.col("path_a").alias("src"), F.col("path_b").alias("dst"), F.lit("neighbor").alias("category"), F.concat(F.lit("neighbor:"), "model").alias("edge"), (F.lit(DECAY["neighbor"]) * F.col("similarity")).alias("decay"))
 
 
@@ -175,21 +188,23 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
     A depth is one step of joins: all files at or above the floor send at once, and send again at the next depth. The
     number of steps is a small constant; each ends in a checkpoint.
     """
-    parts = [text_anchors(catalog.corpus_fts, query, stem=True)]
+    parts = [text_anchors(catalog.corpus_fts, query)]
     stems = stem_anchors(catalog.properties, query) if options.stem_anchoring else None
     parts += [x for x in (stems, visual_anchors(visual) if visual is not None else None) if x is not None]
     known = catalog.files.select("path")
     anchors = reduce(DataFrame.unionByName, parts).join(known, "path", "left_semi")
-    state = _cut(accumulate(None, anchors))
-    edges = _cut(static_edges(catalog, options.fan_out).unionByName(neighbor_edges(catalog)))
+    state = cut(accumulate(None, anchors))
     regions = region_vectors(catalog)
     for _ in range(options.max_depth):
+        # Edges of the files that send at this depth, not of all files.
+        senders = state.where(F.col("score") >= options.score_floor).select("path")
+        edges = static_edges(catalog, options.fan_out, senders).unionByName(neighbor_edges(catalog, senders=senders))
         sent = propagated(state, edges, options.score_floor)
         if regions is not None:
             sent = boosted(sent, regions)
-        state = _cut(accumulate(state, sent))
+        state = cut(accumulate(state, sent))
     if options.negative_query:
-        hits = search(catalog.corpus_fts, options.negative_query, MAX_NEGATIVE_HITS, stem=True).groupBy("path").agg(F.count("*").alias("hits"))
+        hits = search(catalog.corpus_fts, options.negative_query, MAX_NEGATIVE_HITS).groupBy("path").agg(F.count("*").alias("hits"))
         state = state.join(hits, "path", "left").withColumn("score", F.col("score") * F.pow(F.lit(0.3), F.coalesce("hits", F.lit(0)))).drop("hits")
     rows = state.join(catalog.files.select("path", "parent_folder"), "path").join(topology_weights(catalog), "parent_folder", "left")
     rows = rows.withColumn("concept_score", F.least(F.least("score", F.lit(1.0)) * F.coalesce("topo_weight", F.lit(1.0)), F.lit(1.0)))
@@ -199,21 +214,21 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
     return rows.select("path", "concept_score", "counts").orderBy(F.desc("concept_score"), "path").limit(options.max_results)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the shared checkpoint folder, set for tests where the cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+#: Weight of a hit in the simple search by where it was found, and of any other place.
+SIMPLE_WEIGHT = {"filename": 1.0, "title": 0.9, "artist": 0.8, "album": 0.8, "folder": 0.6, "chunk": 0.5, "genre": 0.5}
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relatum-"))
-    return df.checkpoint()
 
+def simple_search(catalog: Catalog, concepts: str | list[str], limit: int = 100) -> DataFrame:
+    """path, score: the best of a file's hits, weighed by source, and of half the score of its folder siblings.
 
-def simple_search(catalog: Catalog, query: str, limit: int = 100) -> DataFrame:
-    """path, score: hits of the query and of its naive plural at 1, folder siblings of the first 50 at half, the best of each."""
-    words = [query, query + "s" if not query.endswith("s") else query[:-1]]
-    hits = reduce(DataFrame.unionByName, [search(catalog.corpus_fts, w, limit, stem=True).select("path", (F.lit(1.0) / (1 + F.abs("rank"))).alias("score")) for w in words])
-    hits = hits.groupBy("path").agg(F.max("score").alias("score"))
-    first = hits.orderBy(F.desc("score"), "path").limit(50)
-    near = folder_siblings(catalog.files, 20).join(first, "path").select(F.col("sibling").alias("path"), (F.col("score") * 0.5).alias("score"))
+    Each concept is searched as it is and with an s, the first `limit` hits each. The first 50 files send to up to 20
+    siblings; they are those of the best score here, ties by path, so that the result does not depend on any order.
+    """
+    concepts = [concepts] if isinstance(concepts, str) else concepts
+    hits = [search(catalog.corpus_fts, w, limit).select("path", _by("source_type", SIMPLE_WEIGHT, OTHER_SOURCE).alias("score")) for c in concepts for w in (c, f"{c}s")]
+    hits = reduce(DataFrame.unionByName, hits).groupBy("path").agg(F.max("score").alias("score"))
+    first = cut(hits.orderBy(F.desc("score"), "path").limit(50))
+    folders = catalog.files.join(F.broadcast(first.select("path")), "path", "left_semi").select("parent_folder").distinct()
+    near = folder_siblings(catalog.files.join(F.broadcast(folders), "parent_folder", "left_semi"), 20).join(F.broadcast(first), "path")
+    near = near.select(F.col("sibling").alias("path"), (F.col("score") * 0.5).alias("score"))
     return hits.unionByName(near).groupBy("path").agg(F.max("score").alias("score"))

@@ -31,6 +31,8 @@ class Axis:
     value: Callable[[Column], Column]
     embedding: str | None = None
     segments: tuple[str, str] | None = None
+    #: Context fields that the score reads; None: any.
+    fields: tuple[str, ...] | None = None
 
 
 #: Numeric and text properties that axes read.
@@ -43,17 +45,17 @@ def _on(name: str, score: Callable[[Column, Column], Column], *fields: str) -> A
     def value(x: Column) -> Column:
         return F.coalesce(*[x[f] for f in fields])
 
-    return Axis(name, lambda s, c: score(value(s), value(c)), lambda x: value(x).cast("string"))
+    return Axis(name, lambda s, c: score(value(s), value(c)), lambda x: value(x).cast("string"), fields=fields)
 
 
 def _vector(name: str, model: str) -> Axis:
     field = f"v_{name}"
-    return Axis(name, lambda s, c: axes.cosine(s[field], c[field]), lambda x: F.size(x[field]).cast("string"), embedding=model)
+    return Axis(name, lambda s, c: axes.cosine(s[field], c[field]), lambda x: F.size(x[field]).cast("string"), embedding=model, fields=())
 
 
 def _segment(name: str, kind: str, model: str) -> Axis:
     field = f"s_{name}"
-    return Axis(name, lambda s, c: axes.best_match(s[field], c[field]), lambda x: F.size(x[field]).cast("string"), segments=(kind, model))
+    return Axis(name, lambda s, c: axes.best_match(s[field], c[field]), lambda x: F.size(x[field]).cast("string"), segments=(kind, model), fields=())
 
 
 class AxisRegistry:
@@ -70,6 +72,10 @@ class AxisRegistry:
             raise UnknownAxis(name)
         return self._axes[name]
 
+    def known(self, names: list[str]) -> list[str]:
+        """Of names as users write them, trimmed and in any case, those of axes; others are passed over."""
+        return [n for n in dict.fromkeys(x.strip().lower() for x in names) if n in self._axes]
+
     def names(self) -> list[str]:
         return list(self._axes)
 
@@ -98,8 +104,15 @@ for _a in (
 
 
 def contexts(catalog: Catalog, files: DataFrame, chosen: list[Axis]) -> DataFrame:
-    """files with what the chosen axes read; vectors and segments only where one of them needs these."""
-    out = files.select("path", "modified_date", "parent_folder").join(wide_properties(catalog.properties, NUMBERS, TEXTS), "path", "left")
+    """files with what the chosen axes read, and no more: properties are cut to their keys and to the files first."""
+    read = None if any(a.fields is None for a in chosen) else {f for a in chosen for f in a.fields}
+    numbers, texts = ([n for n in names if read is None or n.replace(".", "_") in read] for names in (NUMBERS, TEXTS))
+    out = files.select("path", "modified_date", "parent_folder")
+    if numbers or texts:
+        domain, key = F.col("domain"), F.col("key")
+        named = reduce(lambda x, y: x | y, [(domain == n.split(".")[0]) & (key == n.split(".")[1]) for n in (*numbers, *texts)])
+        own = catalog.properties.where(named).join(files.select("path"), "path", "left_semi")
+        out = out.join(wide_properties(own, numbers, texts), "path", "left")
     for a in chosen:
         if a.embedding:
             v = catalog.embeddings.where((F.col("model") == a.embedding) & (F.size("vector") > 0)).select("path", F.col("vector").alias(f"v_{a.name}"))

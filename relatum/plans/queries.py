@@ -106,10 +106,10 @@ def _(s, d):
     return access.wide_properties(catalog_over(s, d).properties, ["audio.bpm", "image.brightness"], ["audio.musical_key"])
 
 
-@query("props_of_file", "SELECT path, domain, key, value_num, value_txt FROM properties WHERE path IN (SELECT path FROM files WHERE id < 5)", "properties", "files")
+@query("properties_of_files", "SELECT path, domain, key, value_num, value_txt FROM properties WHERE path IN (SELECT path FROM files)", "properties", "files")
 def _(s, d):
     c = catalog_over(s, d)
-    rows = access.property_map(c.properties.join(c.files.where("id < 5").select("path"), "path", "left_semi"))
+    rows = access.property_map(c.properties.join(c.files.select("path"), "path", "left_semi"))
     rows = rows.select("path", F.explode("props").alias("k", "v"))
     return rows.select("path", F.split_part("k", F.lit("."), F.lit(1)).alias("domain"), F.split_part("k", F.lit("."), F.lit(2)).alias("key"), "v.value_num", "v.value_txt")
 
@@ -254,10 +254,10 @@ def _(s, d):
     return access.enrichment_stats(catalog_over(s, d))
 
 
-@query("file_detail", "SELECT f.path, m.artist, (SELECT count(*) FROM properties p WHERE p.path = f.path) AS n_props FROM files f LEFT JOIN audio_meta m ON m.path = f.path WHERE f.id < 30", "files", "audio_meta", "properties")
+@query("file_details", "SELECT f.path, m.artist, (SELECT count(*) FROM properties p WHERE p.path = f.path) AS n_props FROM files f LEFT JOIN audio_meta m ON m.path = f.path", "files", "audio_meta", "properties")
 def _(s, d):
     c = catalog_over(s, d)
-    rows = access.file_detail(c, c.files.where("id < 30"))
+    rows = access.file_detail(c, c.files)
     return rows.select("path", "audio_meta.artist", F.coalesce(F.size("props"), F.lit(0)).cast("bigint").alias("n_props"))
 
 
@@ -532,12 +532,12 @@ def _(s, d):
     return segments.chunk_segments(texts).select("path", "segment_key", r6("area_frac").alias("area_frac"))
 
 
-_QUOTABLE = f"SELECT doc_id FROM (SELECT doc_id, substr(text, 1, 300) AS t FROM documents) WHERE length(t) >= 30 AND length(regexp_replace(t, '[^\\p{{L}}\\s]', '', 'g')) / length(t) >= 0.75 AND len(list_filter({_W.format(t='t')}, lambda w: length(w) >= 3 AND regexp_matches(w, '\\p{{L}}'))) >= 6 AND " + " AND ".join("NOT regexp_matches(t, '{}')".format(p.replace("'", "''")) for p in text.UNFIT)
+_QUOTABLE = f"SELECT doc_id FROM (SELECT doc_id, text AS t FROM documents) WHERE length(t) >= 30 AND length(regexp_replace(t, '[^\\p{{L}}\\s]', '', 'g')) / length(t) >= 0.75 AND len(list_filter({_W.format(t='t')}, lambda w: length(w) >= 3 AND regexp_matches(w, '\\p{{L}}'))) >= 6 AND " + " AND ".join("NOT regexp_matches(t, '{}')".format(p.replace("'", "''")) for p in text.UNFIT)
 
 
-@query("text_quality", _QUOTABLE)
+@query("quotable_texts", _QUOTABLE)
 def _(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"))
+    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.where(text.quotable(F.col("t"))).select("doc_id")
 
 
@@ -568,12 +568,12 @@ def _bm25(terms: list[str]) -> str:
 
 @query("bm25_search", f"WITH {_bm25(['ation', 'thatou'])} SELECT path, source_type, source_key, round(rank, 6) AS rank FROM hits", "corpus_fts")
 def _(s, d):
-    return fulltext.search(catalog_over(s, d).corpus_fts, "ation thatou").select("path", "source_type", "source_key", r6("rank").alias("rank"))
+    return fulltext.search(catalog_over(s, d).corpus_fts, "ation thatou", stem=False).select("path", "source_type", "source_key", r6("rank").alias("rank"))
 
 
 @query("phrase_search", f"WITH tk AS (SELECT path, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM corpus_fts) SELECT path FROM tk WHERE contains(t, ' of the ') OR contains(t, ' in der ')", "corpus_fts")
 def _(s, d):
-    return fulltext.search(catalog_over(s, d).corpus_fts, '"of the" OR "in der"').select("path")
+    return fulltext.search(catalog_over(s, d).corpus_fts, '"of the" OR "in der"', stem=False).select("path")
 
 
 @query("porter_search")
@@ -587,7 +587,7 @@ _ANCHORS = f"{_bm25(['license'])}, anchors AS (SELECT path, source_type, {_SRC_W
 
 @query("text_anchors", f"WITH {_ANCHORS} SELECT path, 'anchor:' || source_type AS edge, round(weight, 6) AS weight FROM anchors", "corpus_fts")
 def _(s, d):
-    return concept.text_anchors(catalog_over(s, d).corpus_fts, "license").select("path", "edge", r6("weight").alias("weight"))
+    return concept.text_anchors(catalog_over(s, d).corpus_fts, "license", stem=False).select("path", "edge", r6("weight").alias("weight"))
 
 
 _EDGES = f"""ef AS (SELECT path AS src, sibling AS dst, 'co-folder' AS category, 0.6 / sqrt(count(*) OVER (PARTITION BY path)) AS decay FROM ({_FOLDER.format(n=10)})),
@@ -621,7 +621,7 @@ _START = f"WITH {_ANCHORS}, s0 AS (SELECT path, 1 - product(1 - weight / k) AS s
 
 
 def _activation(c, depth: int) -> DataFrame:
-    state = concept.accumulate(None, concept.text_anchors(c.corpus_fts, "license"))
+    state = concept.accumulate(None, concept.text_anchors(c.corpus_fts, "license", stem=False))
     edges = concept.static_edges(c)
     for _ in range(depth):
         state = concept.accumulate(state, concept.propagated(state, edges, 0.1))
@@ -654,38 +654,38 @@ def _(s, d):
 
 # --- composition --------------------------------------------------------------------------------------------------
 
-_RANKED = "m AS (SELECT t.path, (pk * 7919 % 1000) / 1000.0 AS concept_score, f.extension, f.parent_folder, pk * 37 % 360 AS hue FROM traits t JOIN files f ON f.path = t.path WHERE t.id < 400), i AS (SELECT *, CASE WHEN extension IN ('.wav', '.mp3') THEN 'audio' WHEN extension IN ('.jpg', '.png') THEN 'image' ELSE 'other' END AS kind FROM m), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY concept_score DESC, path) AS rank FROM i) WHERE rank <= 30)"
+_RANKED = "m AS (SELECT t.path, (pk * 7919 % 1000) / 1000.0 AS concept_score, f.extension, f.parent_folder, pk * 37 % 360 AS hue FROM traits t JOIN files f ON f.path = t.path), i AS (SELECT *, CASE WHEN extension IN ('.wav', '.mp3') THEN 'audio' WHEN extension IN ('.jpg', '.png') THEN 'image' ELSE 'other' END AS kind FROM m), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY concept_score DESC, path) AS rank FROM i) WHERE rank <= 30)"
 
 
 def _ranked(c) -> DataFrame:
-    return c.tables["traits"].where("id < 400").select("path", ((F.col("pk") * 7919 % 1000) / 1000.0).alias("concept_score"))
+    return c.tables["traits"].select("path", ((F.col("pk") * 7919 % 1000) / 1000.0).alias("concept_score"))
 
 
-@query("compose_image_order", f"WITH {_RANKED}, b AS (SELECT *, max(concept_score) OVER (PARTITION BY parent_folder) AS best FROM k WHERE kind = 'image'), o AS (SELECT path, concept_score, row_number() OVER (ORDER BY best DESC, parent_folder, hue, rank) - 1 AS position FROM b) SELECT path, position, CASE WHEN position < 3 AND concept_score > 0.5 THEN 'anchor' ELSE 'companion' END AS role FROM o", "traits", "files")
+@query("plan_images", f"WITH {_RANKED}, b AS (SELECT *, max(concept_score) OVER (PARTITION BY parent_folder) AS best FROM k WHERE kind = 'image'), o AS (SELECT path, concept_score, row_number() OVER (ORDER BY best DESC, parent_folder, hue, rank) - 1 AS position FROM b) SELECT path, position, CASE WHEN position < 3 AND concept_score > 0.5 THEN 'anchor' ELSE 'companion' END AS role FROM o", "traits", "files")
 def _(s, d):
     c = catalog_over(s, d)
     return composer.order_images(composer.split_media(_ranked(c), c.files), c.properties).select("path", "position", "role")
 
 
-@query("compose_others", f"WITH {_RANKED} SELECT path, rank - 1 AS position, 'companion' AS role FROM k WHERE kind = 'other'", "traits", "files")
+@query("plan_others", f"WITH {_RANKED} SELECT path, rank - 1 AS position, 'companion' AS role FROM k WHERE kind = 'other'", "traits", "files")
 def _(s, d):
     c = catalog_over(s, d)
     return composer.order_others(composer.split_media(_ranked(c), c.files)).select("path", "position", "role")
 
 
-@query("key_chain")
+@query("plan_audio")
 def _(s, d):
     c = catalog_over(s, d)
     return composer.compose(_ranked(c), c.files, c.properties).where("kind = 'audio'").select("path", "position", "role", F.array_join("notes", "; ").alias("notes"))
 
 
-@query("compose_summary", f"WITH {_RANKED} SELECT 'Concept \"rain\": ' || count(CASE WHEN kind = 'audio' THEN 1 END) || ' audio (key-chained), ' || count(CASE WHEN kind = 'image' THEN 1 END) || ' images (provenance-clustered), ' || count(CASE WHEN kind = 'other' THEN 1 END) || ' other' AS summary FROM k", "traits", "files")
+@query("plan_summary", f"WITH {_RANKED} SELECT 'Concept \"rain\": ' || count(CASE WHEN kind = 'audio' THEN 1 END) || ' audio (key-chained), ' || count(CASE WHEN kind = 'image' THEN 1 END) || ' images (provenance-clustered), ' || count(CASE WHEN kind = 'other' THEN 1 END) || ' other' AS summary FROM k", "traits", "files")
 def _(s, d):
     c = catalog_over(s, d)
     return composer.summary(composer.compose(_ranked(c), c.files, c.properties), "rain")
 
 
-@query("compose_manifest")
+@query("plan_manifest")
 def _(s, d):
     c = catalog_over(s, d)
     return composer.manifest(composer.compose(_ranked(c), c.files, c.properties), "rain")
@@ -696,7 +696,7 @@ def _(s, d):
     return composer.dominant_stems(catalog_over(s, d).properties)
 
 
-@query("result_graph", f"WITH {_RANKED}, {_EDGES} SELECT DISTINCT src, dst, category FROM edges WHERE src <> dst AND src IN (SELECT path FROM k) AND dst IN (SELECT path FROM k)", "traits", "files", "file_projects", "audio_meta")
+@query("plan_graph", f"WITH {_RANKED}, {_EDGES} SELECT DISTINCT src, dst, category FROM edges WHERE src <> dst AND src IN (SELECT path FROM k) AND dst IN (SELECT path FROM k)", "traits", "files", "file_projects", "audio_meta")
 def _(s, d):
     c = catalog_over(s, d)
     plan = composer.compose(_ranked(c), c.files, c.properties)
@@ -771,12 +771,12 @@ def _(s, d):
     return rows.select("p_partkey", r6(F.element_at("t", -1)).alias("last"), F.size("t").cast("bigint").alias("n"))
 
 
-_CUTS = "WITH c AS (SELECT CAST(user_id AS STRING) AS path, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events WHERE user_id % 5 = 0), n AS (SELECT path, t AS a, lead(t) OVER (PARTITION BY path ORDER BY t) AS b FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS i FROM n WHERE b - a >= 0.5) SELECT path, i, round((a + b) / 2, 3) AS midpoint, round(1.0 / count(*) OVER (PARTITION BY path), 6) AS confidence FROM k WHERE i < 50"
+_CUTS = "WITH c AS (SELECT CAST(user_id AS STRING) AS path, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events), n AS (SELECT path, t AS a, lead(t) OVER (PARTITION BY path ORDER BY t) AS b FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a) - 1 AS i FROM n WHERE b - a >= 0.5) SELECT path, i, round((a + b) / 2, 3) AS midpoint, round(1.0 / count(*) OVER (PARTITION BY path), 6) AS confidence FROM k WHERE i < 50"
 
 
-@query("scene_intervals", _CUTS)
+@query("scenes_of_users", _CUTS)
 def _(s, d):
-    cuts = table(s, d, "events").where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("t"))
+    cuts = table(s, d, "events").select(F.col("user_id").cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("t"))
     return segments.scene_intervals(cuts).select("path", "i", F.round("midpoint", 3).alias("midpoint"), r6("confidence").alias("confidence"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,26 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that was set.
+
+    Where none is, a temporary one is made in local mode; on a cluster, executors would not see each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="relatum-"))
+    return (named or jsc.getCheckpointDir().get()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends lineage in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 @dataclass
 class Catalog:
     """Tables by name. A table that is not given is empty, with its declared schema."""
