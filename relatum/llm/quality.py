@@ -2,12 +2,12 @@
 
 Words, their character n-grams and immediate repeats of a word hash to rows of one embedding table. A document is the
 mean of its rows, a softmax layer on top gives the two class probabilities, and both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (`max_train`, by hash of the id). As the model is linear above
+descent in numpy on a bounded sample of labelled rows (`MAX_TRAIN` rows, `MAX_TRAIN_BYTES` of text, by hash of the id). As the model is linear above
 the mean, scoring looks up one logit a bucket, once for each distinct word of a slice, over every whole text.
 
 Defined results: null, empty and blank texts get the probability of the bias alone; labels that are null or whose id
 is not in docs or is held out are not used; without usable labels every score is 0.5; repeated rows keep their rows;
-equal labels of one id are used once, contradictory ones each.
+equal labels of one id are used once, contradictory ones each; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relatum.llm.common import held_out, mix64, prefix_hash, ragged, range_hash, text_bytes, text_slices
@@ -28,6 +28,8 @@ GRAMS = (2, 3, 4)
 REPEAT = 0  # the bucket of "same word as the one before"
 #: Labelled documents that training reads at most, whatever the size of the input.
 MAX_TRAIN = 3000
+#: Bytes of their texts at most.
+MAX_TRAIN_BYTES = 64 << 20
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +121,19 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return table @ (soft[1] - soft[0]), float(bias[1] - bias[0])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_TRAIN) -> pa.Table:
-    """doc_id, text, y of at most `limit` labelled rows that are not held out, by hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> pa.Table:
+    """doc_id, text, y of at most `limit` labelled rows that are not held out, by hash of the id.
+
+    Of these, those up to max_bytes of text in all. Rows that repeat an id count each.
+    """
+    order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id"), F.col("y")]
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    rows = rows.distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "y").limit(limit)
+    rows = rows.distinct().orderBy(*order).limit(limit)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = F.broadcast(rows).join(texts, "doc_id").select("doc_id", "text", "y")
+    found = F.broadcast(rows).join(texts, "doc_id").select("doc_id", "text", "y").orderBy(*order, F.xxhash64("text")).limit(limit)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    before = F.sum(size).over(Window.orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    found = found.where(size <= max_bytes).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + size <= max_bytes).drop("before")
     return found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
 
 
@@ -147,7 +156,7 @@ def score_texts(col: pa.Array, logits: np.ndarray, bias: float) -> np.ndarray:
         return np.full(len(col), 1 / (1 + np.exp(-bias)))
     buckets, n = word_features(words)
     ends = np.cumsum(n)
-    cum = np.concatenate([[0.0], np.cumsum(logits[buckets])])
+    cum = np.concatenate([[0.0], np.cumsum(logits[buckets], dtype=np.float64)])
     per_word = cum[ends] - cum[ends - n]
     repeats = _repeats(at, bounds)
     total = _sums(per_word[at], bounds) + repeats * logits[REPEAT]

@@ -1,7 +1,7 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model counts every word of the whole corpus. A word that looks disguised (digits or signs among its
-letters, letters three times in a row, separators between letters) and letters that stand apart become a lattice: each
+A character trigram model counts every word of all documents. A word that looks disguised (digits or signs among its
+letters, letters three times in a row, separators between letters), the parts that separators join, and letters that stand apart become a lattice: each
 sign may be one of the letters it imitates, a separator or a repeated letter may be nothing. Viterbi decoding under the
 trigram model picks the likeliest reading, and readings count beside the words as written.
 
@@ -11,11 +11,12 @@ evidence, how much of it there is, and its length. The layer is fitted on halves
 
 Defined results: null, empty and blank texts get the score of no evidence; labels that are null, held out or without a
 document are not used; without both labels every score is the share of toxic labels (0 without any); repeated rows keep
-their rows; an empty table gives an empty result; other columns are ignored.
+their rows; texts and words of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -45,6 +46,7 @@ Z, EVIDENCE = 2.5, 0.35
 APART = 4
 LONGEST = 16
 
+JOINED = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _RUNS = "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
 SUSPECT = rf"(?:\pL.*[0-9@$!|+(<.\-_*~^'`,/\\:=].*\pL)|(?:^[0-9@$!|+(<]+\pL)|(?:\pL[0-9@$!|+(<]+$)|{_RUNS}"
 
@@ -146,7 +148,12 @@ def _written(chain: tuple | None) -> str:
 def readings(words: pa.Array, at: np.ndarray, bounds: np.ndarray, model: np.ndarray) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
     """Restored words with the word each comes from, and words of letters that stood apart with their text."""
     suspect = np.flatnonzero(pc.match_substring_regex(words, SUSPECT).to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.int64)
-    found = [(decode(w, model), i) for i, w in zip(suspect.tolist(), words.take(pa.array(suspect)).to_pylist(), strict=True)]
+    found = []
+    for i, w in zip(suspect.tolist(), words.take(pa.array(suspect)).to_pylist(), strict=True):
+        found.append((decode(w, model), i))
+        # Words that signs join are read one by one too; pieces of a letter or two are a word that is spaced out.
+        parts = [x for x in JOINED.split(w) if len(x) >= APART]
+        found += [(decode(x, model), i) for x in parts if len(x) < len(w)]
     apart, owner = [], []
     if len(at):
         single = pc.utf8_length(words).to_numpy(zero_copy_only=False)[at] == 1

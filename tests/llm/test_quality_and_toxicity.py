@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -90,3 +91,35 @@ def test_long_words_are_read():
     seen = pa.array(["i" + "d" * 90 + "iot", "-".join("stupid").replace("-", "-" * 30)])
     restored, source, _, _ = toxicity.readings(seen, np.arange(2), np.array([0, 1, 2]), model)
     assert restored == ["idiot", "stupid"] and source.tolist() == [0, 1]
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, "x" * 1000) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, quality int")
+    assert quality.labelled_sample(docs, labels, "quality", 30).num_rows == 30
+    assert quality.labelled_sample(docs, labels, "quality", 300, 12_500).num_rows == 12
+    assert quality.labelled_sample(docs, labels, "quality", 300, 10).num_rows == 0
+
+
+def test_scores_against_a_plain_version(spark, data, rows, labels):
+    """Every text's score again, word by word, from the trained table."""
+    logits, bias = quality.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    logits = logits.astype(np.float32)
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality"](spark, data).collect()}
+    for i, text in rows:
+        words = [w for w in re.split("[ \\t-\\r]+", text) if w]
+        total, n, before = 0.0, 0, None
+        for w in words:
+            ids, _ = quality.word_features(pa.array([w]))
+            total, n = total + float(logits[ids].sum()), n + len(ids)
+            if w == before:
+                total, n = total + float(logits[quality.REPEAT]), n + 1
+            before = w
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(total / max(n, 1) + bias))), abs=1e-5)
+
+
+def test_joined_words_are_read_apart():
+    counts = toxicity.trigram_counts(pa.array(["stupid", "people", "wonder"]), np.array([900.0, 900.0, 900.0]))
+    model = toxicity.smoothed(counts)
+    found, source, _, _ = toxicity.readings(pa.array(["stup1d-pe0ple.w0nder"]), np.array([0]), np.array([0, 1]), model)
+    assert {"stupid", "people", "wonder"} <= set(found) and set(source.tolist()) == {0}
