@@ -10,10 +10,12 @@ greater ones, and 0.8 or more is contamination.
    that near finds every item within the radius.
 3. Candidates are verified on their exact shingle counts.
 
-A benchmark goes to executors in parts of at most PART_BYTES of text, with one pass over the documents for each part.
+A benchmark goes to executors in parts of about PART_BYTES of text, with one pass over the documents for each part; driver
+and executors hold one part at a time.
 
 Defined results: null or blank texts and items match nothing; an item of fewer than five words is one shingle and matches
-where its words stand in a row; repeated rows keep their rows; repeated items count once by id; an empty table gives an
+where its words stand in a row; repeated rows keep their rows; repeated items count once by id, all texts of an id are searched, and items without an id are one; texts of any length are
+read whole; an empty table gives an
 empty result (no items: nothing is contaminated); other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from relatum.llm.common import ragged, shingle_hashes, text_bytes, text_slices, word_hashes
+from relatum.llm.common import drop_staged, ragged, shingle_hashes, staged, text_bytes, text_slices, word_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -179,50 +181,65 @@ def _short(words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _parts(benchmark: DataFrame) -> list[pa.Table]:
-    """The items in parts of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
-    n = max(1, -(-int(total or 0) // PART_BYTES))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [items.where(part == i).dropDuplicates(["item_id"]).toArrow() for i in range(n)]
+#: Stands for an item without an id.
+NO_ID = -(1 << 63)
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of docs, and `matches`: array<struct<item_id, similarity>> in order of item_id."""
-    spark = docs.sparkSession
-    kind = ArrayType(StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType())]))
-    out = docs
-    for table in _parts(benchmark):
-        shared = spark.sparkContext.broadcast((table.column("item_id").to_pylist(), table.column("text").combine_chunks()))
-        name = f"matches_{uuid.uuid4().hex}"
+def _parts(benchmark: DataFrame) -> Iterator[tuple[bool, pa.Table]]:
+    """The items in parts of bounded size, one after the other, and whether it is the last; a text that repeats under its id once."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("bigint"), F.lit(NO_ID)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    n = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for i in range(n):
+        yield i + 1 == n, items.where(part == i).toArrow()
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, schema, name: str, emit) -> DataFrame:
+    """docs after emit(batch, matches of its texts) for each part; executors hold one part at a time, as rows are written between."""
+    out, at = docs, None
+    for i, (last, table) in enumerate(_parts(benchmark)):
+        shared = docs.sparkSession.sparkContext.broadcast((table.column("item_id").to_pylist(), table.column("text").combine_chunks()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*shared.value)
-            pairs = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
             for b in text_slices(batches):
-                found = [[{"item_id": i, "similarity": m[i]} for i in sorted(m)] for m in matches(b.column("text"), bench)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pairs)], [*b.schema.names, "found"])
+                yield emit(b, matches(b.column("text"), bench))
+
+        out = out.mapInArrow(run, schema(out, f"{name}{i}"))
+        if not last:
+            before, (out, at) = at, staged(out, "searched")
+            shared.destroy()
+            if before:
+                drop_staged(docs.sparkSession, before)
+    return out
 
-        schema = StructType([*out.schema.fields, StructField(name, kind)])
-        out = out.mapInArrow(run, schema)
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All columns of docs, and a last one: array<struct<item_id, similarity>> in order of item_id (null first).
+
+    It is `matches`, or where docs has a column of this name in any case, `item_matches` or the first of `item_matches_1`, ...
+    """
+    kind = ArrayType(StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType())]))
+    pairs = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
+
+    def emit(b: pa.RecordBatch, found: list[dict[int, float]]) -> pa.RecordBatch:
+        rows = [[{"item_id": None if i == NO_ID else i, "similarity": m[i]} for i in sorted(m)] for m in found]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pairs)], [*b.schema.names, "found"])
+
+    out = _searched(docs, benchmark, lambda df, name: StructType([*df.schema.fields, StructField(name, kind)]), f"matches_{uuid.uuid4().hex}", emit)
     found = [c for c in out.columns if c not in docs.columns]
-    return out.select(*docs.columns, F.array_sort(F.concat(*found)).alias("matches"))
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("matches", "item_matches", *(f"item_matches_{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+    # An item whose texts lie in several parts counts once, with its best.
+    every = F.flatten(F.array(*found))
+    ids = F.array_sort(F.array_distinct(F.transform(every, lambda m: F.coalesce(m["item_id"], F.lit(NO_ID)))))
+    best = F.transform(ids, lambda i: F.struct(F.nullif(i, F.lit(NO_ID)).alias("item_id"), F.array_max(F.transform(F.filter(every, lambda m: F.coalesce(m["item_id"], F.lit(NO_ID)) == i), lambda m: m["similarity"])).alias("similarity")))
+    return out.select(*docs.columns, (F.col(found[0]) if len(found) == 1 else best).alias(name))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
-    spark, out = docs.sparkSession, docs
-    for table in _parts(benchmark):
-        shared = spark.sparkContext.broadcast((table.column("item_id").to_pylist(), table.column("text").combine_chunks()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value)
-            for b in text_slices(batches):
-                yield b.filter(pa.array([not m for m in matches(b.column("text"), bench)], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return _searched(docs, benchmark, lambda df, name: docs.schema, "", lambda b, found: b.filter(pa.array([not m for m in found], pa.bool_())))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Texts are cut into sentences, which are normalised and mapped to identifiers of
 identifiers of a text is then matched against ordered rules: the first rule whose identifiers stand in that order, with
 no other known sentence between, names a licence, takes its sentences out, and matching goes on with the rest.
 
-Defined results: a null text is an empty one; unknown sentences are passed over; repeated rows keep their rows; an empty
+Defined results: a null text is an empty one; unknown sentences are passed over; texts of any length are read whole; repeated rows keep their rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -27,6 +27,8 @@ NAMES = {
     "apache license version 2 0": "Apache-2.0",
     "apache license 2 0": "Apache-2.0",
     "apache 2 0 license": "Apache-2.0",
+    "mpl 2 0": "MPL-2.0",
+    "unlicense": "Unlicense",
     "gnu general public license version 2": "GPL-2.0",
     "gnu general public license version 3": "GPL-3.0",
     "gnu gpl v3": "GPL-3.0",
@@ -59,11 +61,24 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful",
     "apache-unless": "unless required by applicable law or agreed to in writing",
     "apache-use": "you may not use this file except in compliance with the license",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications",
+    "gpl-lesser": "you should have received a copy of the gnu lesser general public license",
+    "gpl-copy": "you should have received a copy of the gnu general public license",
     "rights": "all rights reserved",
-    "spdx": "spdx license identifier",
 }
 #: Licences by the sequence of identifiers that names them, the more telling first.
 RULES = [
+    ("BSD-3-Clause", ("rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
+    ("BSD-3-Clause", ("rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
+    ("BSD-2-Clause", ("rights", "bsd-grant", "bsd-source", "bsd-binary")),
+    ("MIT", ("rights", "mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
@@ -73,15 +88,28 @@ RULES = [
     ("ISC", ("isc-grant", "as-is")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("named:Apache-2.0", "apache-use", "apache-unless")),
+    ("MPL-2.0", ("mpl-form", "mpl-copy")),
+    ("MPL-2.0", ("mpl-form",)),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-domain",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("LGPL", ("gpl-redistribute", "gpl-hope", "gpl-lesser")),
+    ("GPL", ("gpl-redistribute", "gpl-hope", "gpl-copy")),
     ("GPL", ("gpl-redistribute", "gpl-hope")),
     ("GPL", ("gpl-redistribute",)),
     ("MIT", ("mit-grant",)),
     ("Proprietary", ("rights",)),
 ]
 GRANT = re.compile(r"^(?:(?:this|the) (?:\w+ ){1,3}(?:is|are) )?(?:dual )?(?:released|licensed|distributed|made available|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(.+)$")
-SPDX = re.compile(r"^spdx license identifier ([a-z0-9 ]+)$")
+SPDX = re.compile(r"(?im)spdx-license-identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
+#: Licences by the name that a tag has, in small letters; others keep theirs as it is written.
+TAGS = {x.lower(): x for x in NAMES.values()}
+#: What may follow a name in the sentence that grants by it.
+AFTER = re.compile(r" (?:see|as|which|whose|you|unless|with|and may|available at|https?) .*$")
 #: What a text must hold for any sentence to be known.
-TRIGGER = r"(?i)licen[cs]ed|released|distributed|available under|published under|provided|permission|redistribut|neither the name|free software|required by|compliance|rights reserved|spdx"
+TRIGGER = r"(?i)licen[cs]ed|subject to the terms|copy of the|free and unencumbered|anyone is free|granted|released|distributed|available under|published under|provided|permission|redistribut|neither the name|free software|required by|compliance|rights reserved|spdx"
 DECORATION = re.compile(r"[!#$%&*|]+")
 #: A sentence ends at a mark or a blank line (of a comment too); its lines may be wrapped.
 END = re.compile(r"[.;?](?=\s|$)|\n(?:[^\w\n]*\n)+")
@@ -96,16 +124,11 @@ def normalised(sentence: str) -> str:
 
 def sentence_id(sentence: str) -> str | None:
     """The identifier of a normalised sentence, None if it is not known."""
-    m = SPDX.match(sentence)
-    if m:
-        name = m[1].replace(" or later", "").replace(" only", "")
-        spdx = {normalised(x): x for x in {*NAMES.values()}}.get(name)
-        return f"named:{spdx}" if spdx else "spdx"
     m = GRANT.match(sentence)
     if m:
         name = m[1]
         name = name.removesuffix(" the license") if name.removesuffix(" the license") in NAMES else name
-        for x in (name, name.removesuffix(" license")):
+        for x in (name, name.removesuffix(" license"), AFTER.sub("", name), AFTER.sub("", name).removesuffix(" license")):
             if x in NAMES:
                 return f"named:{NAMES[x]}"
     for key, start in SENTENCES.items():
@@ -114,12 +137,32 @@ def sentence_id(sentence: str) -> str | None:
     return None
 
 
+def tagged(expression: str) -> list[str]:
+    """Identifiers of the licences in an expression such as `MIT OR (Apache-2.0 AND BSD-3-Clause)`, each once."""
+    out, operand, exception = [], True, False
+    for w in expression.replace("(", " ").replace(")", " ").split():
+        if w.upper() in ("AND", "OR", "WITH"):
+            operand, exception = True, w.upper() == "WITH"
+        elif not operand:
+            break
+        else:
+            plain = re.sub(r"(?i)-(?:or-later|only)$|\+$", "", w.rstrip("."))
+            if plain and not exception:
+                out.append(f"named:{TAGS.get(plain.lower(), plain)}")
+            operand = exception = False
+    return list(dict.fromkeys(out))
+
+
 def identifiers(text: str) -> list[str]:
     """Known sentences of a text in order."""
     out = []
     for s in END.split(DECORATION.sub("", text)):
         if not re.search(TRIGGER, s.replace("\n", " ")):
             continue
+        tags = [x for m in SPDX.finditer(s) for x in tagged(m[1])]
+        if tags:
+            out += tags
+            continue
         lines = [normalised(x) for x in s.split("\n")]
         for i, line in enumerate(lines):
             # A known sentence may begin at any line; where the line alone is none, those it is wrapped to are joined.

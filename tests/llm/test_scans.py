@@ -283,3 +283,48 @@ purpose with or without fee is hereby granted.""",
 @pytest.mark.parametrize("name", NOTICES)
 def test_published_notices(name):
     assert licenses.matched(licenses.identifiers(NOTICES[name])) == [name]
+
+
+MORE_NOTICES = {
+    "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+    "// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\nint x;": ["GPL-2.0"],
+    "/* SPDX-License-Identifier: (MIT AND bsd-3-clause) */": ["BSD-3-Clause", "MIT"],
+    "# spdx-license-identifier: EPL-2.0": ["EPL-2.0"],
+    "This project is licensed under the MIT License, see LICENSE for details": ["MIT"],
+    "Licensed under the Mozilla Public License, version 2.0": ["MPL-2.0"],
+    " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, for any purpose.": ["Unlicense"],
+    "Copyright (c) 2020, The Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"": ["BSD-2-Clause"],
+    "Copyright The Firm. All rights reserved.": ["Proprietary"],
+    "You are granted a copy of the rules of the game": [],
+}
+
+
+@pytest.mark.parametrize("text", MORE_NOTICES)
+def test_more_notices(text):
+    assert licenses.matched(licenses.identifiers(text)) == MORE_NOTICES[text]
+
+
+def test_license_query_against_a_plain_version(spark, data, rows):
+    """Every line of the tables that grants by a known name, found by a plain expression, and nothing else."""
+    names = sorted(licenses.NAMES, key=len, reverse=True)
+    line = re.compile(r"(?:^|[.;?]\s|\n)[^\w\n]*(?:this (?:work|text|document|software) is )?(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(" + "|".join(names) + r")(?: license)?\s*(?:[.;?]|$|\n)")
+    got = {r.doc_id: r.licenses for r in QUERIES["op3_licenses"](spark, data).collect()}
+    for i, text in rows:
+        flat = "".join(c if c.isalnum() or c in "\n.;? " else " " for c in licenses.DECORATION.sub("", text).lower())
+        flat = re.sub(r"(\d) ?\. ?(\d)", r"\1 \2", re.sub("[ ]+", " ", flat))
+        for m in line.finditer(flat):
+            assert licenses.NAMES[m[1]] in got[i].split(","), (i, m[0])
+
+
+def test_benchmark_in_parts_and_without_ids(spark, monkeypatch):
+    """Texts of one id in several parts, items without an id, and columns that have the result's name."""
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:12])), (1, " ".join(words[12:26])), (None, " ".join(words[26:])), (2, " ".join(words[:12]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:12]), 5), (2, "x " + " ".join(words[12:26]) + " y", 6), (3, " ".join(words[26:]), 7), (4, "none of these at all here", 8)], "doc_id bigint, text string, Matches int")
+    for size in (16 << 20, 40):
+        monkeypatch.setattr(decontam, "PART_BYTES", size)
+        out = decontam.benchmark_matches(docs, bench)
+        assert out.columns == ["doc_id", "text", "Matches", "item_matches"]
+        assert {r.doc_id: [(m.item_id, m.similarity) for m in r.item_matches] for r in out.collect()} == {1: [(1, 1.0), (2, 1.0)], 2: [(1, 1.0)], 3: [(None, 1.0)], 4: []}
+        assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]
