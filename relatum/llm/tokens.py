@@ -7,7 +7,7 @@ and `data` (little-endian value bytes). The rank table lies beside them under `r
 block once, also where executors are lost meanwhile.
 
 Defined results: a null or empty text is the end id alone; equal ids keep all their rows, ordered by id and then text
-hash; a null id comes first; an empty table gives files without blocks; other columns are ignored.
+hash; a null id comes first; a text of any length is encoded whole, in one block; an empty table gives files without blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BLOCK_IDS = 1 << 19
 CACHE_WORDS = 500_000
 #: Bytes of text encoded at once: the more, the more words are met again.
 TOKEN_SLICE = 6 << 20
+#: Vocabularies whose normaliser and splitter were read to keep to white space.
+BY_WORD = ("word_bpe_49k.json",)
 BLOCK_SCHEMA = "part int, seq int, doc_ids array<bigint>, counts array<int>, control binary, data binary"
 
 
@@ -313,11 +315,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "pos")
 
 
-def token_output(docs: DataFrame, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
-    """Writes the files and returns what reading them gives."""
+def token_output(docs: DataFrame, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = 2, by_word: bool | None = None) -> DataFrame:
+    """Writes the files and returns what reading them gives.
+
+    Texts are encoded by words only with a vocabulary in BY_WORD, or where by_word says that its rules allow it.
+    """
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    write_tokens(docs, path, name, end_id)
+    write_tokens(docs, path, name, end_id, name in BY_WORD if by_word is None else by_word)
     return read_tokens(spark, path)
