@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relatum.llm.common import byte_lengths, mix64, prefix_hash, ragged, range_hash, staged, text_bytes, text_slices, word_hashes
+from relatum.llm.common import byte_lengths, drop_staged, mix64, prefix_hash, ragged, range_hash, staged, text_bytes, text_slices, word_hashes
 
 LENGTH = 400
 GRAM = 32
@@ -224,11 +224,11 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     if not gram <= length < RUN + gram:
         raise ValueError(f"length must be from {gram} to {RUN + gram - 1}")
     spark = docs.sparkSession
-    runs, _ = staged(_runs(docs, length, gram), "runs")
+    runs, runs_at = staged(_runs(docs, length, gram), "runs")
     # Any run may stand for its class, and which does is settled by writing the classes down.
     some = [F.first(c).alias(c) for c in ("id", "tie", "place")]
     kind = ["anchor", "k1", "k2"]
-    classes, _ = staged(runs.groupBy(*kind).agg(F.count("*").alias("runs"), *some), "classes")
+    classes, classes_at = staged(runs.groupBy(*kind).agg(F.count("*").alias("runs"), *some), "classes")
     lo, n = F.shiftright("place", RUN_BITS), F.col("place").bitwiseAND(RUN - 1)
     twice = runs.join(classes.where("runs > 1").select(*kind), kind, "left_semi").select("id", "tie", lo.alias("lo"), (lo + n).alias("hi"))
     open_ = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("runs") == 1).alias("open")).where("m > 1 and open > 0").select("anchor", "m")
@@ -251,13 +251,20 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = F.ceil(F.col("m") / SHARD_CLASSES)
     rows = bodies.select("*", shards.alias("shards"), F.pmod(F.xxhash64("id", "tie", "lo"), shards).alias("salt")).repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found, _ = staged(rows.mapInArrow(_sorted_shards(length), f"{KEY}, lo bigint, hi bigint, anchor bigint, salt bigint, body bigint, part bigint, windows array<bigint>, at array<bigint>"), "shards")
+    found, found_at = staged(rows.mapInArrow(_sorted_shards(length), f"{KEY}, lo bigint, hi bigint, anchor bigint, salt bigint, body bigint, part bigint, windows array<bigint>, at array<bigint>"), "shards")
     local = found.where("hi is not null").select("id", "tie", "lo", "hi")
     lists = found.where("part is not null").select("anchor", "part", "salt", "windows", "at").repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
     merged = lists.mapInArrow(_merged_lists, "anchor bigint, salt bigint, body bigint, first bigint, end bigint")
     whose = found.where("body is not null").select("anchor", "salt", "body", "id", "tie", "lo")
     across = merged.join(whose, ["anchor", "salt", "body"]).select("id", "tie", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("end")).alias("hi"))
-    return twice.union(local).union(across)
+    out, _ = staged(twice.union(local).union(across), "intervals")
+    _drop(spark, runs_at, classes_at, found_at)
+    return out
+
+
+def _drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        drop_staged(spark, path)
 
 
 def _sorted_shards(length: int):
@@ -387,12 +394,12 @@ def sharing_documents(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE
     Runs of windows of words with one anchor, as those of bytes. A class of runs in two documents settles these. Of the
     others, those that share a probe with another class are open, and their windows are counted one by one.
     """
-    rows, _ = staged(_passage_runs(docs, words, gram), "passages")
+    rows, rows_at = staged(_passage_runs(docs, words, gram), "passages")
     key, who = ["anchor", "kind"], F.struct("id", "tie")
     # One document stands for a class.
     classes = rows.groupBy(*key).agg(F.min(F.struct("id", "tie", "place", "left", "right")).alias("least"), F.max(who).alias("most"))
     shared = (F.col("least.id") != F.col("most.id")) | (F.col("least.tie") != F.col("most.tie"))
-    classes, _ = staged(classes.select(*key, "least.*", shared.alias("shared")), "kinds")
+    classes, classes_at = staged(classes.select(*key, "least.*", shared.alias("shared")), "kinds")
     same = rows.join(classes.where("shared").select(*key), key, "left_semi").select("id", "tie")
     probes = classes.select("id", "tie", "place", "shared", F.explode(F.array_compact(F.array("left", "right"))).alias("probe"))
     met = probes.groupBy("probe").agg(F.count("*").alias("m"), F.bool_and("shared").alias("settled")).where("m > 1 and not settled").select("probe")
@@ -410,9 +417,11 @@ def sharing_documents(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE
             ids = [b.column(c).to_numpy(zero_copy_only=False)[doc][of] for c in ("id", "tie")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, settled[of], h))], ["id", "tie", "shared", "window"])
 
-    each, _ = staged(docs.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "runs").mapInArrow(windows, f"{KEY}, shared boolean, window bigint"), "windows")
+    each, each_at = staged(docs.select("id", "tie", "text").join(wanted, ["id", "tie"]).select("id", "tie", "text", "runs").mapInArrow(windows, f"{KEY}, shared boolean, window bigint"), "windows")
     both = each.groupBy("window").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least != most").select("window")
-    return same.union(each.where("not shared").join(both, "window", "left_semi").select("id", "tie")).distinct()
+    out, _ = staged(same.union(each.where("not shared").join(both, "window", "left_semi").select("id", "tie")).distinct(), "sharing")
+    _drop(docs.sparkSession, rows_at, classes_at, each_at)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
