@@ -188,7 +188,7 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
     A depth is one step of joins: all files at or above the floor send at once, and send again at the next depth. The
     number of steps is a small constant; each ends in a checkpoint.
     """
-    parts = [text_anchors(catalog.corpus_fts, query)]
+    parts = [text_anchors(catalog.search_texts, query)]
     stems = stem_anchors(catalog.properties, query) if options.stem_anchoring else None
     parts += [x for x in (stems, visual_anchors(visual) if visual is not None else None) if x is not None]
     known = catalog.files.select("path")
@@ -204,7 +204,7 @@ def concept_query(catalog: Catalog, query: str, options: ConceptOptions = Concep
             sent = boosted(sent, regions)
         state = cut(accumulate(state, sent))
     if options.negative_query:
-        hits = search(catalog.corpus_fts, options.negative_query, MAX_NEGATIVE_HITS).groupBy("path").agg(F.count("*").alias("hits"))
+        hits = search(catalog.search_texts, options.negative_query, MAX_NEGATIVE_HITS).groupBy("path").agg(F.count("*").alias("hits"))
         state = state.join(hits, "path", "left").withColumn("score", F.col("score") * F.pow(F.lit(0.3), F.coalesce("hits", F.lit(0)))).drop("hits")
     rows = state.join(catalog.files.select("path", "parent_folder"), "path").join(topology_weights(catalog), "parent_folder", "left")
     rows = rows.withColumn("concept_score", F.least(F.least("score", F.lit(1.0)) * F.coalesce("topo_weight", F.lit(1.0)), F.lit(1.0)))
@@ -225,7 +225,7 @@ def simple_search(catalog: Catalog, concepts: str | list[str], limit: int = 100)
     siblings; they are those of the best score here, ties by path, so that the result does not depend on any order.
     """
     concepts = [concepts] if isinstance(concepts, str) else concepts
-    hits = [search(catalog.corpus_fts, w, limit).select("path", _by("source_type", SIMPLE_WEIGHT, OTHER_SOURCE).alias("score")) for c in concepts for w in (c, f"{c}s")]
+    hits = [search(catalog.search_texts, w, limit).select("path", _by("source_type", SIMPLE_WEIGHT, OTHER_SOURCE).alias("score")) for c in concepts for w in (c, f"{c}s")]
     hits = reduce(DataFrame.unionByName, hits).groupBy("path").agg(F.max("score").alias("score"))
     first = cut(hits.orderBy(F.desc("score"), "path").limit(50))
     folders = catalog.files.join(F.broadcast(first.select("path")), "path", "left_semi").select("parent_folder").distinct()

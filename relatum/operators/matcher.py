@@ -72,13 +72,16 @@ class AxisRegistry:
             raise UnknownAxis(name)
         return self._axes[name]
 
-    def known(self, names: list[str]) -> list[str]:
-        """Of names as users write them, trimmed and in any case, those of axes; others are passed over."""
-        return [n for n in dict.fromkeys(x.strip().lower() for x in names) if n in self._axes]
-
     def names(self) -> list[str]:
         return list(self._axes)
 
+    def known(self, weights: dict[str, float]) -> dict[str, float]:
+        """The weights of registered axes; other names are passed over, as callers from outside may send any."""
+        return {n: w for n, w in weights.items() if n in self._axes}
+
+
+#: Weights that a caller starts from.
+DEFAULT_WEIGHTS = {"bpm": 0.8, "key": 0.9, "spectral": 0.3, "visual": 0.9, "sonic": 0.9, "objects": 0.8, "vocals": 0.7, "scenes": 0.6, "concepts": 0.7, "brightness": 0.5, "hue": 0.4, "color_temp": 0.3, "palette": 0.2, "aspect": 0.3, "duration": 0.3, "temporal": 0.3, "provenance": 0.2}
 
 REGISTRY = AxisRegistry()
 for _a in (
@@ -190,6 +193,17 @@ def find_matches(catalog: Catalog, seed: str, weights: dict[str, float], limit:
     return top.select("path", "score", *[f"score_{a.name}" for a in chosen], why.alias("explanation"))
 
 
+def match_manifest(matches: DataFrame, files: DataFrame, seed: str, weights: dict[str, float], generated_at: str) -> DataFrame:
+    """One JSON document: the seed and its file, and the ranked matches (of find_matches) with name, score and axes."""
+    named = F.broadcast(matches).join(files.select("path", "filename"), "path")
+    axes_ = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"score_{n}").alias("score")) for n in weights])
+    row = F.struct((-F.col("score")).alias("order"), "path", "filename", "score", axes_.alias("axes"))
+    entries = F.transform(F.sort_array(F.collect_list(row)), lambda x, i: F.struct((i + 1).alias("rank"), x["path"].alias("path"), x["filename"].alias("filename"), x["score"].alias("score"), x["axes"].alias("axes")))
+    info = files.where(F.col("path") == seed).select(F.struct("path", "filename", "extension", "size_bytes").alias("seed_info")).limit(1)
+    one = named.agg(entries.alias("matches")).join(F.broadcast(info), how="left")
+    return one.select(F.to_json(F.struct(F.lit(seed).alias("seed"), "seed_info", "matches", F.lit(generated_at).alias("generated_at"))).alias("manifest"))
+
+
 def explanation_text(explanation: Column) -> Column:
     """Lines of a tree, one for each axis."""
     last = F.size(explanation) - 1

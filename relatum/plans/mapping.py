@@ -49,11 +49,15 @@ SELECTS: dict[str, str] = {
         ]
     ),
     "audio_meta": "SELECT path, CAST(size * 7.5 AS DOUBLE) AS duration_secs, brand AS artist, type AS album, concat('track ', CAST(pk AS STRING)) AS title FROM traits",
+    "photo_meta": "SELECT path, CAST(100 + size * 10 AS BIGINT) AS width, CAST(100 + pk % 90 * 10 AS BIGINT) AS height, brand AS camera_make, type AS camera_model FROM traits WHERE pk % 3 = 0",
+    "video_meta": "SELECT path, CAST(size * 3.5 AS DOUBLE) AS duration_secs, CAST(640 + pk % 5 * 160 AS BIGINT) AS width, concat('codec', CAST(size % 4 AS STRING)) AS video_codec FROM traits WHERE pk % 3 = 1",
+    "document_meta": "SELECT path, CASE WHEN pk % 4 = 0 THEN NULL ELSE CAST(size AS BIGINT) END AS page_count, CASE WHEN pk % 5 = 0 THEN NULL ELSE concat('title ', CAST(pk AS STRING)) END AS title, brand AS author FROM traits WHERE pk % 2 = 0",
+    "font_meta": "SELECT path, type AS font_family, brand AS font_style FROM traits WHERE pk % 7 = 0",
     "file_projects": "SELECT path, concat('proj_', CAST(pk % 37 AS STRING)) AS project_id FROM traits WHERE size <= 25",
     "embeddings": "SELECT f.path, CASE WHEN e.label < 5 THEN 'clip:ViT-B-32' ELSE 'clap:HTSAT-tiny' END AS model, e.embedding AS vector, CAST(64 AS INT) AS dim FROM embeddings_table e JOIN files f ON f.id = e.vec_id",
     "segments": "SELECT concat('s', CAST(c.conv_id AS STRING), '_', CAST(c.turn AS STRING)) AS id, f.path, CASE WHEN c.role = 'user' THEN 'region' ELSE 'chunk' END AS segment_type, CAST(c.turn AS STRING) AS segment_key, substr(c.text, 1, 100) AS label, CASE WHEN c.turn % 4 = 3 THEN NULL ELSE CAST((c.turn + 1) / 10.0 AS DOUBLE) END AS area_frac, c.conv_id, c.turn FROM conversations c JOIN files f ON f.id = c.conv_id",
     "segment_embeddings": "SELECT s.id AS segment_id, CASE WHEN s.segment_type = 'region' THEN 'clip:ViT-B-32' ELSE 'siglip:SO400M-384' END AS model, e.embedding AS vector, CAST(64 AS INT) AS dim FROM segments s JOIN embeddings_table e ON e.vec_id = (s.conv_id * 7 + s.turn) % 500",
-    "corpus_fts": f"SELECT f.path, {_pick('d.doc_id % 5', ['filename', 'title', 'chunk', 'caption', 'note'])} AS source_type, CAST(d.doc_id AS STRING) AS source_key, d.text AS content FROM documents d JOIN files f ON f.id = d.doc_id",
+    "search_texts": f"SELECT f.path, {_pick('d.doc_id % 5', ['filename', 'title', 'chunk', 'caption', 'note'])} AS source_type, CAST(d.doc_id AS STRING) AS source_key, d.text AS content FROM documents d JOIN files f ON f.id = d.doc_id",
     "neighbors": "SELECT a.path AS path_a, b.path AS path_b, 'clip:ViT-B-32' AS model, 0.2 + (a.id * 31 + b.id * 17) % 79 / 100.0 AS similarity FROM files a JOIN files b ON b.id = a.id + 1 OR b.id = a.id + 2",
 }
 #: Neighbour rows come from two equi-joins in Spark; the SELECT above states the same with one condition.

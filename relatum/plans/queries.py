@@ -72,6 +72,21 @@ def _(s, d):
     return access.with_meta(access.files_by_extension(c.files, ".mp3"), c.audio_meta, "m").select("path", "m.artist", "m.album")
 
 
+def _meta_query(kind: str, extension: str, *columns: str) -> None:
+    select = ", ".join(f"m.{c}" for c in columns)
+
+    @query(f"{kind}_meta_join", f"SELECT f.path, {select} FROM files f LEFT JOIN {kind}_meta m ON m.path = f.path WHERE f.extension = '{extension}'", "files", f"{kind}_meta")
+    def _(s, d):
+        c = catalog_over(s, d)
+        return access.with_meta(access.files_by_extension(c.files, extension), getattr(c, f"{kind}_meta"), "m").select("path", *[f"m.{x}" for x in columns])
+
+
+_meta_query("photo", ".jpg", "width", "height", "camera_make")
+_meta_query("video", ".mp4", "duration_secs", "width", "video_codec")
+_meta_query("document", ".pdf", "page_count", "title", "author")
+_meta_query("font", ".py", "font_family", "font_style")
+
+
 @query("content_hash", "SELECT doc_id, md5(text) AS md5_hash FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.md5("text").alias("md5_hash"))
@@ -261,9 +276,9 @@ def _(s, d):
     return rows.select("path", "audio_meta.artist", F.coalesce(F.size("props"), F.lit(0)).cast("bigint").alias("n_props"))
 
 
-@query("fts_counts", "SELECT source_type, count(*) AS n FROM corpus_fts GROUP BY source_type", "corpus_fts")
+@query("fts_counts", "SELECT source_type, count(*) AS n FROM search_texts GROUP BY source_type", "search_texts")
 def _(s, d):
-    return access.count_by(catalog_over(s, d).corpus_fts, "source_type")
+    return access.count_by(catalog_over(s, d).search_texts, "source_type")
 
 
 # --- axes ---------------------------------------------------------------------------------------------------------
@@ -377,6 +392,30 @@ _segment_axis("objects", "region", "clip:ViT-B-32")
 _segment_axis("concepts", "chunk", "siglip:SO400M-384")
 
 
+def _registered_axis(name: str) -> None:
+    """A registered segment axis, over the region segments under its kind and model."""
+    kind, model = matcher.REGISTRY.get(name).segments
+    sql = f"""WITH v AS (SELECT s.path, s.id, coalesce(s.area_frac, 1.0) AS w, e.vector FROM segments s JOIN segment_embeddings e ON e.segment_id = s.id WHERE s.segment_type = 'region'),
+ seed AS (SELECT * FROM v WHERE path = (SELECT min(path) FROM v)),
+ best AS (SELECT c.path, s.id, any_value(s.w) AS w, max({_COS.format(a='s.vector', b='c.vector')}) AS b FROM v c CROSS JOIN seed s WHERE c.path <> s.path GROUP BY c.path, s.id)
+ SELECT path, round(sum(w * b) / sum(w), 6) AS score FROM best GROUP BY path"""
+
+    @query(f"axis_{name}", sql, "segments", "segment_embeddings")
+    def _(s, d):
+        c, axis = catalog_over(s, d), matcher.REGISTRY.get(name)
+        regions = c.segments.where("segment_type = 'region'").withColumn("segment_type", F.lit(kind))
+        c = c.with_table("segments", regions).with_table("segment_embeddings", c.segment_embeddings.withColumn("model", F.lit(model)))
+        files = c.files.join(regions.select("path"), "path", "left_semi")
+        rows = matcher.contexts(c, files, [axis])
+        rows = rows.select("path", F.struct(*rows.columns).alias("c"))
+        seed = rows.orderBy("path").limit(1).select(F.col("path").alias("sp"), F.col("c").alias("s"))
+        return rows.crossJoin(F.broadcast(seed)).where("path <> sp").select("path", r6(axis.score(F.col("s"), F.col("c"))).alias("score"))
+
+
+_registered_axis("vocals")
+_registered_axis("scenes")
+
+
 @query("segment_best_pair")
 def _(s, d):
     c = catalog_over(s, d)
@@ -413,6 +452,13 @@ def seed_match(s: SparkSession, d: str) -> DataFrame:
     return found.select("path", r6("score").alias("score"))
 
 
+@query("match_manifest")
+def _(s, d):
+    c = catalog_over(s, d)
+    seed, weights = _seed_path(c), matcher.REGISTRY.known({"bpm": 2.0, "spectral": 1.0, "unheard of": 3.0})
+    return matcher.match_manifest(matcher.find_matches(c, seed, weights, 20), c.files, seed, weights, "2024-01-01 00:00:00")
+
+
 @query("seed_match_all_axes")
 def _(s, d):
     c = catalog_over(s, d)
@@ -533,6 +579,8 @@ def _(s, d):
 
 
 _QUOTABLE = f"SELECT doc_id FROM (SELECT doc_id, text AS t FROM documents) WHERE length(t) >= 30 AND length(regexp_replace(t, '[^\\p{{L}}\\s]', '', 'g')) / length(t) >= 0.75 AND len(list_filter({_W.format(t='t')}, lambda w: length(w) >= 3 AND regexp_matches(w, '\\p{{L}}'))) >= 6 AND " + " AND ".join("NOT regexp_matches(t, '{}')".format(p.replace("'", "''")) for p in text.UNFIT)
+#: The condition on a text t alone.
+_FIT_TEXT = _QUOTABLE.split(" WHERE ", 1)[1]
 
 
 @query("quotable_texts", _QUOTABLE)
@@ -541,6 +589,28 @@ def _(s, d):
     return rows.where(text.quotable(F.col("t"))).select("doc_id")
 
 
+@query("metadata_fallback", "WITH e AS (SELECT path, CASE WHEN id % 2 = 0 THEN CAST(id AS BIGINT) END AS p, CASE WHEN id % 3 = 0 THEN filename END AS t FROM files), j AS (SELECT e.path, CAST(coalesce(p, m.page_count) AS DOUBLE) AS p, coalesce(t, m.title) AS t, m.author AS a FROM e LEFT JOIN document_meta m ON m.path = e.path) SELECT path, 'text' AS domain, 'page_count' AS key, p AS value_num, CAST(NULL AS VARCHAR) AS value_txt FROM j WHERE p IS NOT NULL UNION ALL SELECT path, 'text', 'title', NULL, t FROM j WHERE t IS NOT NULL UNION ALL SELECT path, 'text', 'author', NULL, a FROM j WHERE a IS NOT NULL", "files", "document_meta")
+def _(s, d):
+    c = catalog_over(s, d)
+    found = c.files.select("path", F.when(F.col("id") % 2 == 0, F.col("id")).alias("page_count"), F.when(F.col("id") % 3 == 0, F.col("filename")).alias("title"), F.lit(None).cast("string").alias("author"))
+    return incremental.metadata_properties(found, c.document_meta)
+
+
+@query("texts_to_segment", f"WITH w AS (SELECT f.path, len({_W.format(t='t.text')}) AS n FROM documents t JOIN files f ON f.id = t.doc_id) SELECT path FROM w WHERE n > 50 AND path NOT IN (SELECT path FROM segments WHERE segment_type = 'chunk')", "files", "segments")
+def _(s, d):
+    c = catalog_over(s, d)
+    texts = table(s, d, "documents").withColumnRenamed("doc_id", "id").join(c.files.select("id", "path"), "id").select("path", "text")
+    return segments.text_to_segment(c.files, incremental.text_properties(texts), c.segments).select("path")
+
+
+@query("ranked_texts", f"WITH v AS (SELECT embedding AS q FROM main.embeddings WHERE vec_id = 0), t AS (SELECT s.id, s.path, s.label AS t, {_RAW.format(a='e.vector', b='v.q')} AS score FROM segments s JOIN segment_embeddings e ON e.segment_id = s.id CROSS JOIN v WHERE s.segment_type = 'chunk') SELECT id, path, round(score, 6) AS score FROM t WHERE {_FIT_TEXT} ORDER BY round(score, 9) DESC, id LIMIT 12", "segments", "segment_embeddings")
+def _(s, d):
+    c = catalog_over(s, d)
+    rows = access.segments_with_vectors(c.segments, c.segment_embeddings, "chunk", "siglip:SO400M-384")
+    q = F.broadcast(table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return segments.rank_texts(rows.crossJoin(q), F.col("q"), 12, None).select("id", "path", r6("score").alias("score"))
+
+
 @query("byte_prefix", "SELECT doc_id, octet_length(encode(text)) <= 1000 AS whole FROM documents")
 def _(s, d):
     rows = table(s, d, "documents").withColumn("p", text.byte_prefix(F.col("text"), 1000))
@@ -563,31 +633,31 @@ def _bm25(terms: list[str]) -> str:
     total = "count(*) AS rows, avg(len(ts)) AS mean, " + ", ".join(f"sum(CASE WHEN n_{i} > 0 THEN 1 ELSE 0 END) AS df_{i}" for i in range(len(terms)))
     part = " ".join(f"- greatest(ln((rows - df_{i} + 0.5) / (df_{i} + 0.5)), 1e-6) * n_{i} * 2.2 / (n_{i} + 1.2 * (0.25 + 0.75 * len(ts) / mean))" for i in range(len(terms)))
     both = " AND ".join(f"n_{i} > 0" for i in range(len(terms)))
-    return f"tk AS (SELECT path, source_type, source_key, {_TOKENS} AS ts FROM corpus_fts), nk AS (SELECT *, {tf} FROM tk), tot AS (SELECT {total} FROM nk), hits AS (SELECT path, source_type, source_key, 0 {part} AS rank FROM nk, tot WHERE {both})"
+    return f"tk AS (SELECT path, source_type, source_key, {_TOKENS} AS ts FROM search_texts), nk AS (SELECT *, {tf} FROM tk), tot AS (SELECT {total} FROM nk), hits AS (SELECT path, source_type, source_key, 0 {part} AS rank FROM nk, tot WHERE {both})"
 
 
-@query("bm25_search", f"WITH {_bm25(['ation', 'thatou'])} SELECT path, source_type, source_key, round(rank, 6) AS rank FROM hits", "corpus_fts")
+@query("bm25_search", f"WITH {_bm25(['ation', 'thatou'])} SELECT path, source_type, source_key, round(rank, 6) AS rank FROM hits", "search_texts")
 def _(s, d):
-    return fulltext.search(catalog_over(s, d).corpus_fts, "ation thatou", stem=False).select("path", "source_type", "source_key", r6("rank").alias("rank"))
+    return fulltext.search(catalog_over(s, d).search_texts, "ation thatou", stem=False).select("path", "source_type", "source_key", r6("rank").alias("rank"))
 
 
-@query("phrase_search", f"WITH tk AS (SELECT path, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM corpus_fts) SELECT path FROM tk WHERE contains(t, ' of the ') OR contains(t, ' in der ')", "corpus_fts")
+@query("phrase_search", f"WITH tk AS (SELECT path, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM search_texts) SELECT path FROM tk WHERE contains(t, ' of the ') OR contains(t, ' in der ')", "search_texts")
 def _(s, d):
-    return fulltext.search(catalog_over(s, d).corpus_fts, '"of the" OR "in der"', stem=False).select("path")
+    return fulltext.search(catalog_over(s, d).search_texts, '"of the" OR "in der"', stem=False).select("path")
 
 
 @query("porter_search")
 def _(s, d):
-    return fulltext.search(catalog_over(s, d).corpus_fts, "stinging", 50, stem=True).select("path", r6("rank").alias("rank"))
+    return fulltext.search(catalog_over(s, d).search_texts, "stinging", 50, stem=True).select("path", r6("rank").alias("rank"))
 
 
 _SRC_W = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in concept.SOURCE_WEIGHT.items()) + f" ELSE {concept.OTHER_SOURCE} END"
 _ANCHORS = f"{_bm25(['license'])}, anchors AS (SELECT path, source_type, {_SRC_W} * (0.5 + 0.5 / (1 + least(abs(rank), 10) / 10)) AS weight FROM hits ORDER BY rank, path LIMIT 500)"
 
 
-@query("text_anchors", f"WITH {_ANCHORS} SELECT path, 'anchor:' || source_type AS edge, round(weight, 6) AS weight FROM anchors", "corpus_fts")
+@query("text_anchors", f"WITH {_ANCHORS} SELECT path, 'anchor:' || source_type AS edge, round(weight, 6) AS weight FROM anchors", "search_texts")
 def _(s, d):
-    return concept.text_anchors(catalog_over(s, d).corpus_fts, "license", stem=False).select("path", "edge", r6("weight").alias("weight"))
+    return concept.text_anchors(catalog_over(s, d).search_texts, "license", stem=False).select("path", "edge", r6("weight").alias("weight"))
 
 
 _EDGES = f"""ef AS (SELECT path AS src, sibling AS dst, 'co-folder' AS category, 0.6 / sqrt(count(*) OVER (PARTITION BY path)) AS decay FROM ({_FOLDER.format(n=10)})),
@@ -608,6 +678,18 @@ def _(s, d):
     return concept.neighbor_edges(catalog_over(s, d)).select("src", "dst", "edge", r6("decay").alias("decay"))
 
 
+@query("visual_anchors", f"WITH v AS (SELECT embedding AS q FROM main.embeddings WHERE vec_id = 0) SELECT path, 'anchor:visual' AS edge, round({_RAW.format(a='e.vector', b='v.q')} * 0.6, 6) AS weight FROM embeddings e CROSS JOIN v WHERE model = 'clip:ViT-B-32'", "embeddings")
+def _(s, d):
+    q = F.broadcast(table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")))
+    pairs = catalog_over(s, d).embeddings.where("model = 'clip:ViT-B-32'").crossJoin(q).select("path", axes.raw_cosine(F.col("vector"), F.col("q")).alias("similarity"))
+    return concept.visual_anchors(pairs).select("path", "edge", r6("weight").alias("weight"))
+
+
+@query("stem_anchors", "SELECT path, 'anchor:stem:drums' AS edge, round(value_num * 0.85, 6) AS weight FROM properties WHERE domain = 'stems' AND key = 'drums' AND value_num >= 0.5 ORDER BY value_num DESC, path LIMIT 200", "properties")
+def _(s, d):
+    return concept.stem_anchors(catalog_over(s, d).properties, "loud drums").select("path", "edge", r6("weight").alias("weight"))
+
+
 def _step(before: str, after: str) -> str:
     """One depth: state `before` (path, score, counts by category as rows in before_n) becomes `after`."""
     return f"""{after}_e AS (SELECT e.dst AS path, e.category, e.src, s.score * e.decay AS w FROM edges e JOIN {before} s ON s.path = e.src WHERE e.src <> e.dst AND s.score >= 0.1 AND s.score * e.decay >= 0.1),
@@ -621,19 +703,19 @@ _START = f"WITH {_ANCHORS}, s0 AS (SELECT path, 1 - product(1 - weight / k) AS s
 
 
 def _activation(c, depth: int) -> DataFrame:
-    state = concept.accumulate(None, concept.text_anchors(c.corpus_fts, "license", stem=False))
+    state = concept.accumulate(None, concept.text_anchors(c.search_texts, "license", stem=False))
     edges = concept.static_edges(c)
     for _ in range(depth):
         state = concept.accumulate(state, concept.propagated(state, edges, 0.1))
     return state.select("path", r6("score").alias("score"))
 
 
-@query("activation_depth1", f"{_START}, {_step('s0', 's1')} SELECT path, round(score, 6) AS score FROM s1", "corpus_fts", "files", "file_projects", "audio_meta")
+@query("activation_depth1", f"{_START}, {_step('s0', 's1')} SELECT path, round(score, 6) AS score FROM s1", "search_texts", "files", "file_projects", "audio_meta")
 def _(s, d):
     return _activation(catalog_over(s, d), 1)
 
 
-@query("activation_depth2", f"{_START}, {_step('s0', 's1')}, {_step('s1', 's2')} SELECT path, round(score, 6) AS score FROM s2", "corpus_fts", "files", "file_projects", "audio_meta")
+@query("activation_depth2", f"{_START}, {_step('s0', 's1')}, {_step('s1', 's2')} SELECT path, round(score, 6) AS score FROM s2", "search_texts", "files", "file_projects", "audio_meta")
 def _(s, d):
     return _activation(catalog_over(s, d), 2)
 
@@ -819,6 +901,13 @@ def _(s, d):
     return rows.select("vec_id", F.size("v").cast("bigint").alias("n"), F.round(F.col("v")[0], 6).alias("v0"))
 
 
+@query("mask_areas", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 700 AS BIGINT) AS area FROM lineitem")
+def _(s, d):
+    bits = F.concat(F.repeat(F.lit("\0"), (F.col("l_suppkey") % 90).cast("int")), F.repeat(F.lit("\1"), (F.col("l_partkey") % 700).cast("int"))).cast("binary")
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", vectors.encode_mask(bits).alias("rle"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", vectors.mask_area(F.col("rle")).alias("area"))
+
+
 @query("contrast_vector")
 def _(s, d):
     e = table(s, d, "embeddings")

@@ -22,7 +22,7 @@ SCHEMAS: dict[str, str] = {
     "embeddings": "path string, model string, vector array<float>, dim int",
     "segments": "id string, path string, segment_type string, segment_key string, label string, bbox_x double, bbox_y double, bbox_w double, bbox_h double, time_start double, time_end double, confidence double, area_frac double, model string, mask_rle binary",
     "segment_embeddings": "segment_id string, model string, vector array<float>, dim int",
-    "corpus_fts": "path string, source_type string, source_key string, content string",
+    "search_texts": "path string, source_type string, source_key string, content string",
     "neighbors": "path_a string, path_b string, model string, similarity double",
     "projects": "id string, name string, project_root string, file_count bigint, date_range string",
     "file_projects": "path string, project_id string",

@@ -43,3 +43,11 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> D
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def metadata_properties(extracted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Properties page_count, title and author of texts (extracted: path and these): what was extracted, else what is known."""
+    rows = extracted.select("path", "page_count", "title", "author").alias("e").join(existing.select("path", "page_count", "title", "author").alias("k"), "path", "left")
+    pick = lambda c: F.coalesce(f"e.{c}", f"k.{c}")
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), (pick(c).cast("double") if c == "page_count" else F.lit(None).cast("double")).alias("value_num"), (F.lit(None).cast("string") if c == "page_count" else pick(c)).alias("value_txt")) for c in ("page_count", "title", "author")])
+    return rows.select("path", F.explode(entries).alias("x")).where("x.value_num is not null or x.value_txt is not null").select("path", F.lit("text").alias("domain"), "x.key", "x.value_num", "x.value_txt")

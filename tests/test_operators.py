@@ -20,7 +20,7 @@ def graph(spark):
     f = files(spark, [("/a", "a1.wav", "2024-01-01 10:00:00"), ("/a", "a2.wav", "2024-01-01 10:30:00"), ("/a", "a3.wav", "2024-01-02 10:00:00"), ("/a", "a4.wav", None), ("/b", "b1.jpg", "2024-01-01 10:00:00"), ("/b", "b2.jpg", "2024-02-01 10:00:00"), ("/b", "b3.jpg", "2024-03-01 10:00:00"), ("/b", "b4.jpg", "bad")])
     t = {
         "files": f,
-        "corpus_fts": spark.createDataFrame([("/a/a1.wav", "filename", "1", "rain drum"), ("/a/a1.wav", "title", "2", "rain"), ("/a/a1.wav", "chunk", "3", "the rain falls"), ("/b/b1.jpg", "caption", "4", "sun over sea"), ("/b/b2.jpg", "caption", "5", "moon")], "path string, source_type string, source_key string, content string"),
+        "search_texts": spark.createDataFrame([("/a/a1.wav", "filename", "1", "rain drum"), ("/a/a1.wav", "title", "2", "rain"), ("/a/a1.wav", "chunk", "3", "the rain falls"), ("/b/b1.jpg", "caption", "4", "sun over sea"), ("/b/b2.jpg", "caption", "5", "moon")], "path string, source_type string, source_key string, content string"),
         "file_projects": spark.createDataFrame([("/a/a1.wav", "p"), ("/b/b1.jpg", "p"), ("/b/b2.jpg", "p")], "path string, project_id string"),
         "audio_meta": spark.createDataFrame([("/a/a1.wav", "X", "L"), ("/a/a3.wav", "Y", "L")], "path string, artist string, album string"),
         "neighbors": spark.createDataFrame([("/a/a1.wav", "/b/b1.jpg", "clip:ViT-B-32", 0.9), ("/a/a1.wav", "/b/b3.jpg", "clip:ViT-B-32", 0.01), ("/a/a1.wav", "/b/b2.jpg", "clap:HTSAT-tiny", 0.8)], "path_a string, path_b string, model string, similarity double"),
@@ -41,16 +41,16 @@ def fold(edges):
 
 
 def test_anchors_are_damped(graph):
-    rows = concept.text_anchors(graph.corpus_fts, "rain").collect()
+    rows = concept.text_anchors(graph.search_texts, "rain").collect()
     assert len(rows) == 3
-    state = concept.accumulate(None, concept.text_anchors(graph.corpus_fts, "rain")).first()
+    state = concept.accumulate(None, concept.text_anchors(graph.search_texts, "rain")).first()
     assert state.score == pytest.approx(fold([("anchor", w) for w in sorted((r.weight for r in rows), reverse=True)]))
     assert state.counts == {"anchor": 3}
 
 
 def test_activation_of_one_depth(graph):
     found = {r.path: r for r in concept.concept_query(graph, "rain", concept.ConceptOptions(max_depth=1, stem_anchoring=False)).collect()}
-    start = concept.accumulate(None, concept.text_anchors(graph.corpus_fts, "rain")).first().score
+    start = concept.accumulate(None, concept.text_anchors(graph.search_texts, "rain")).first().score
     # /a/a2: folder of three others, and one session sibling.
     assert found["/a/a2.wav"].concept_score == pytest.approx(fold([("co-session", start * 0.65), ("co-folder", start * 0.6 / 3**0.5)]))
     # /b/b1: project of three with itself; neighbour with equal regions; folder type 1.3.

@@ -83,7 +83,7 @@ def test_queries_that_mean_nothing():
 
 
 def test_stemmed_search_of_documents(spark, data):
-    rows = {(r.path, r.source_key): r.content for r in catalog_over(spark, data).corpus_fts.collect()}
+    rows = {(r.path, r.source_key): r.content for r in catalog_over(spark, data).search_texts.collect()}
     want = plain_search(rows.items(), "stinging")
     got = q.QUERIES["porter_search"](spark, data).collect()
     assert len(got) == min(len(want), 50) and want
@@ -95,7 +95,7 @@ def test_simple_search_against_a_plain_version(spark):
     sources = ["filename", "title", "artist", "album", "folder", "chunk", "genre", "caption"]
     files = [(f"/d{i % 5}/f{i:03d}", f"/d{i % 5}") for i in range(120)]
     texts = [(p, rng.choice(sources), str(i), rng.choice(["a ball game", "balls of arms", "arm", "none"])) for i, (p, _) in enumerate(files[:50])]
-    c = Catalog(spark, {"files": spark.createDataFrame([(i, p, p, ".x", 1, None, d) for i, (p, d) in enumerate(files)], "id bigint, path string, filename string, extension string, size_bytes bigint, modified_date string, parent_folder string"), "corpus_fts": spark.createDataFrame(texts, "path string, source_type string, source_key string, content string")})
+    c = Catalog(spark, {"files": spark.createDataFrame([(i, p, p, ".x", 1, None, d) for i, (p, d) in enumerate(files)], "id bigint, path string, filename string, extension string, size_bytes bigint, modified_date string, parent_folder string"), "search_texts": spark.createDataFrame(texts, "path string, source_type string, source_key string, content string")})
     weight = {"filename": 1.0, "title": 0.9, "artist": 0.8, "album": 0.8, "folder": 0.6, "chunk": 0.5, "genre": 0.5}
     want = {}
     for word in ("ball", "balls", "arm", "arms"):
@@ -122,3 +122,41 @@ def test_session_siblings_against_a_plain_version(spark):
             near = sorted((abs(u - t), s) for s, (e, u) in at.items() if s != p and e == d and abs(u - t) <= window)[:limit]
             want |= {(p, s, g, k + 1) for k, (g, s) in enumerate(near)}
         assert {tuple(r) for r in access.session_siblings(df, window, limit).collect()} == want
+
+
+def test_manifest_of_matches(spark, data):
+    import json
+
+    got = json.loads(q.QUERIES["match_manifest"](spark, data).first().manifest)
+    c = catalog_over(spark, data)
+    files = {r.path: r for r in c.files.collect()}
+    seed = next(r for r in files.values() if r.id == 3)
+    assert got["seed"] == seed.path and got["seed_info"] == {"path": seed.path, "filename": seed.filename, "extension": seed.extension, "size_bytes": seed.size_bytes}
+    assert got["generated_at"] == "2024-01-01 00:00:00"
+    ranked = got["matches"]
+    assert [m["rank"] for m in ranked] == list(range(1, 21))
+    assert [m["path"] for m in ranked] == [m["path"] for m in sorted(ranked, key=lambda m: (-m["score"], m["path"]))]
+    for m in ranked:
+        assert m["filename"] == files[m["path"]].filename
+        by = {a["name"]: a["score"] for a in m["axes"]}
+        assert m["score"] == pytest.approx((2 * by["bpm"] + by["spectral"]) / 3)
+
+
+def test_contrast_and_best_pair_against_a_plain_version(spark, data):
+    import numpy as np
+
+    rows = [(r.label, np.array(r.embedding, float)) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    p, n = (np.mean([v for k, v in rows if k == y], axis=0) for y in (1, 2))
+    want = p - 0.3 * n
+    got = np.array(q.QUERIES["contrast_vector"](spark, data).first().v)
+    assert np.allclose(got / np.linalg.norm(got), want / np.linalg.norm(want), atol=1e-5)
+    c = catalog_over(spark, data)
+    segs = {}
+    for r in access.segments_with_vectors(c.segments, c.segment_embeddings, "region", "clip:ViT-B-32").collect():
+        v = np.array(r.vector, float)
+        segs.setdefault(r.path, []).append((r.id, v / np.linalg.norm(v), r.label))
+    seed = sorted(segs[min(segs)], key=lambda x: x[0])
+    for r in q.QUERIES["segment_best_pair"](spark, data).collect():
+        pairs = [(min(max(float(a @ b), 0), 1), x, y) for _, a, x in seed for _, b, y in segs[r.path]]
+        assert r.score == pytest.approx(max(s for s, _, _ in pairs), abs=2e-6)
+        assert any(abs(s - r.score) < 2e-6 and (x, y) == (r.seed_label, r.cand_label) for s, x, y in pairs)
