@@ -247,3 +247,36 @@ def test_words_of_one_pattern_do_not_collide(spark):
     swapped = word.translate(str.maketrans("ab", "ba"))
     df = spark.createDataFrame([(1, word), (2, swapped), (3, word * 5), (4, swapped * 5)], "doc_id bigint, text string")
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+
+
+def test_pairs_among_hundreds_alike(spark):
+    """500 groups around one text, two copies each, at 0.86 to each other and 0.70 to the rest: 500 components."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base, docs = rng.sample(words, 400), []
+    for _ in range(500):
+        group = list(base)
+        for k in rng.sample(range(400), 4):
+            group[k] = rng.choice(words)
+        for _ in range(2):
+            mine = list(group)
+            for k in rng.sample(range(400), 3):
+                mine[k] = rng.choice(words)
+            docs.append((len(docs), " ".join(mine)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    sets = {i: shingles(t) for i, t in docs}
+    above = list(range(len(docs)))
+
+    def find(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                above[y] = x
+    assert got == [(i, len(sets[i]), find(i)) for i, _ in docs]
+    assert len({c for _, _, c in got}) > 450
