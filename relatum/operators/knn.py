@@ -27,7 +27,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _nearest(ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, least: float, skip_self: bool) -> pd.DataFrame:
-    """The k best of one block for each query, ties by id."""
+    """The k best of one block (in order of its ids) for each query, ties by id."""
     out_a, out_b, out_s = [], [], []
     for lo in range(0, len(q), 1024):
         sim = q[lo : lo + 1024] @ base.T
@@ -37,9 +37,13 @@ def _nearest(ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, base: np.ndar
         # All that tie with the k-th, so that the choice among ties does not depend on blocks.
         floor = np.maximum(np.partition(sim, -m, axis=1)[:, -m] - 1e-9, least)
         r, c = np.nonzero((sim > least) & (sim >= floor[:, None]))
-        out_a.append(ids[lo + r])
-        out_b.append(base_ids[c])
-        out_s.append(sim[r, c])
+        s = sim[r, c]
+        order = np.lexsort((c, -np.round(s, 9), r))
+        r, c, s = r[order], c[order], s[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out_a.append(ids[lo + r[best]])
+        out_b.append(base_ids[c[best]])
+        out_s.append(s[best])
     return pd.DataFrame({"path_a": np.concatenate(out_a), "path_b": np.concatenate(out_b), "similarity": np.concatenate(out_s)})
 
 
@@ -80,6 +84,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, least: float, skip_self
         def meet(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
             if not len(qs) or not len(bs):
                 return pd.DataFrame({"path_a": [], "path_b": [], "similarity": []}).astype({"path_a": object, "path_b": object, "similarity": float})
+            bs = bs.sort_values("base_path")
             return _nearest(qs["path"].to_numpy(object), _matrix(qs["vector"]), bs["base_path"].to_numpy(object), _matrix(bs["base_vector"]), k, least, skip_self)
 
         found = left.cogroup(right).applyInPandas(meet, schema)

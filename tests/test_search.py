@@ -160,3 +160,17 @@ def test_contrast_and_best_pair_against_a_plain_version(spark, data):
         pairs = [(min(max(float(a @ b), 0), 1), x, y) for _, a, x in seed for _, b, y in segs[r.path]]
         assert r.score == pytest.approx(max(s for s, _, _ in pairs), abs=2e-6)
         assert any(abs(s - r.score) < 2e-6 and (x, y) == (r.seed_label, r.cand_label) for s, x, y in pairs)
+
+
+def test_equal_vectors_give_k_neighbours_each(spark):
+    from relatum.operators import knn
+
+    df = spark.createDataFrame([(f"p{i:02d}", [1.0, 0.0] if i < 30 else [0.0, 1.0]) for i in range(40)], "path string, vector array<float>")
+    found = knn._nearest(*(lambda r: (r[0], r[1], r[0], r[1]))((__import__("numpy").array([f"p{i:02d}" for i in range(40)], object), __import__("numpy").eye(2)[[0] * 30 + [1] * 10])), 3, 0.1, True)
+    assert len(found) == 120
+    got = {}
+    for r in knn.nearest(df, df, 3, 0.1).collect():
+        got.setdefault(r.path_a, []).append(r.path_b)
+    for i in range(40):
+        pool = [f"p{j:02d}" for j in (range(30) if i < 30 else range(30, 40)) if j != i]
+        assert sorted(got[f"p{i:02d}"]) == pool[:3]
