@@ -121,7 +121,7 @@ def contexts(catalog: Catalog, files: DataFrame, chosen: list[Axis]) -> DataFram
             v = catalog.embeddings.where((F.col("model") == a.embedding) & (F.size("vector") > 0)).select("path", F.col("vector").alias(f"v_{a.name}"))
             out = out.join(v, "path", "left")
         if a.segments:
-            s = segments_with_vectors(catalog.segments, catalog.segment_embeddings, *a.segments)
+            s = segments_with_vectors(catalog.segments.join(files.select("path"), "path", "left_semi"), catalog.segment_embeddings, *a.segments)
             s = s.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "vector", "area_frac", "label"))), lambda x: F.struct(x["vector"].alias("vector"), x["area_frac"].alias("area_frac"), x["label"].alias("label"))).alias(f"s_{a.name}"))
             out = out.join(s, "path", "left")
     return out
@@ -182,7 +182,11 @@ def find_matches(catalog: Catalog, seed: str, weights: dict[str, float], limit:
     row = catalog.files.where(F.col("path") == seed)
     if row.limit(1).isEmpty():
         raise SeedNotFound(seed)
-    mine = contexts(catalog, row, chosen).limit(1)
+    # The seed's own rows, by a filter that reaches the files.
+    own = catalog
+    for name in ("properties", "embeddings", "segments"):
+        own = own.with_table(name, getattr(catalog, name).where(F.col("path") == seed))
+    mine = contexts(own, row, chosen).limit(1)
     files = catalog.files.join(candidate_paths(catalog, seed, chosen), "path", "left_semi")
     cands = contexts(catalog, files, chosen)
     both = cands.select(F.struct(*cands.columns).alias("c")).crossJoin(F.broadcast(mine.select(F.struct(*mine.columns).alias("s"))))
