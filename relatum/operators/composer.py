@@ -115,8 +115,8 @@ def audio_roles(ordered: DataFrame) -> DataFrame:
 
 
 def order_images(items: DataFrame, properties: DataFrame) -> DataFrame:
-    """Image items in order: folders by their best score, within them by hue (0 where unknown)."""
-    hue = properties.where("domain = 'image' and key = 'dominant_hue'").select("path", F.col("value_num").alias("hue"))
+    """Image items in order: folders by their best score, within them by hue (0 where unknown, the least of several)."""
+    hue = properties.where("domain = 'image' and key = 'dominant_hue'").groupBy("path").agg(F.min("value_num").alias("hue"))
     rows = items.where("kind = 'image'").join(hue, "path", "left").withColumn("hue", F.coalesce("hue", F.lit(0.0)))
     rows = rows.withColumn("best", F.max("concept_score").over(Window.partitionBy("parent_folder")))
     order = Window.partitionBy("kind").orderBy(F.desc("best"), "parent_folder", "hue", "rank")
