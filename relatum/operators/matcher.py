@@ -173,7 +173,8 @@ def explained(axis: Axis, seed: Column, cand: Column) -> Column:
 def find_matches(catalog: Catalog, seed: str, weights: dict[str, float], limit: int = 20) -> DataFrame:
     """path, score, one score_<axis> column each, explanation (array of name, score, weight, detail): the best matches of a file.
 
-    The seed is one row and travels as a broadcast join; scores are one projection; ordering is a top-k.
+    The seed is one row and travels as a broadcast join; scores are one projection; ordering is a top-k. Scores that are equal
+    to nine decimals are ties, by path: their last bits come from the order of a sum.
     """
     chosen = [REGISTRY.get(n) for n in weights]
     total = sum(weights.values())
@@ -192,7 +193,7 @@ def find_matches(catalog: Catalog, seed: str, weights: dict[str, float], limit:
     both = cands.select(F.struct(*cands.columns).alias("c")).crossJoin(F.broadcast(mine.select(F.struct(*mine.columns).alias("s"))))
     scored = both.select(F.col("c.path").alias("path"), "s", "c", *[a.score(F.col("s"), F.col("c")).alias(f"score_{a.name}") for a in chosen])
     score = reduce(lambda x, y: x + y, [F.col(f"score_{a.name}") * float(weights[a.name]) for a in chosen]) / float(total)
-    top = scored.withColumn("score", score).orderBy(F.desc("score"), "path").limit(limit)
+    top = scored.withColumn("score", score).orderBy(F.desc(F.round("score", 9)), "path").limit(limit)
     why = F.array(*[F.struct(F.lit(a.name).alias("axis"), F.col(f"score_{a.name}").alias("score"), F.lit(float(weights[a.name])).alias("weight"), explained(a, F.col("s"), F.col("c")).alias("detail")) for a in chosen])
     return top.select("path", "score", *[f"score_{a.name}" for a in chosen], why.alias("explanation"))
 
