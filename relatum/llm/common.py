@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes
             lo = hi
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def handing_back(run: Run) -> Run:
+    """run, after which its worker gives back the memory that it holds unused: workers stay for the tasks of later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def byte_lengths(col: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each value, 0 for null."""
     import pyarrow.compute as pc

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from relatum.llm.common import drop_staged, ragged, shingle_hashes, staged, text_bytes, text_slices, word_hashes
+from relatum.llm.common import drop_staged, handing_back, ragged, shingle_hashes, staged, text_bytes, text_slices, word_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -200,6 +200,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, schema, name: str, emit) ->
     for i, (last, table) in enumerate(_parts(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast((table.column("item_id").to_pylist(), table.column("text").combine_chunks()))
 
+        @handing_back
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*shared.value)
             for b in text_slices(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relatum.llm.common import MIX_1, MIX_2, checkpointed, distinct_by_doc, drop_staged, mix64, shingle_hashes, staged, text_bytes, text_slices, word_hashes
+from relatum.llm.common import MIX_1, MIX_2, checkpointed, distinct_by_doc, drop_staged, handing_back, mix64, shingle_hashes, staged, text_bytes, text_slices, word_hashes
 
 VALUES = 64
 ORDERS = 24
@@ -90,6 +90,7 @@ def _binary(raw: bytes, width: int, n: int, valid: np.ndarray | None = None) ->
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, node (empty where the set is), sig, keys, labels of every row."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, pos = _multipliers(), _order_positions()
         for b in text_slices(batches):
@@ -120,6 +121,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, sig binary, keys array<bigint>, labels array<bigint>")
 
 
+@handing_back
 def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates a, b of whole regions in order; members of crowded ones also come with b empty and their key."""
     names = ["a", "b", "key"]
@@ -185,6 +187,7 @@ def candidates(nodes: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFram
     sig, least = nodes.select("node", "sig"), least_common(percent)
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
 
+    @handing_back
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
@@ -208,6 +211,7 @@ def crowd_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
     spark = rows.sparkSession
 
+    @handing_back
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -274,6 +278,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the similarity: 100 * intersection >= percent * union."""
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
@@ -290,6 +295,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+@handing_back
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     above: dict[bytes, bytes] = {}
 
@@ -387,6 +393,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     cand, crowds = candidates(nodes.select("node", "sig", "keys", "labels"), percent)
     wanted = checkpointed(cand.select(F.col("a").alias("node")).union(cand.select(F.col("b").alias("node"))).union(crowds.select("node")).distinct().join(nodes.select("node", "least"), "node"))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             sets, n = shingle_sets(b.column("text"), size)

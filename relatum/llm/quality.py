@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relatum.llm.common import held_out, mix64, prefix_hash, ragged, range_hash, text_bytes, text_slices
+from relatum.llm.common import handing_back, held_out, mix64, prefix_hash, ragged, range_hash, text_bytes, text_slices
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -169,6 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     logits, bias = fit(docs, labels, label)
     shared = docs.sparkSession.sparkContext.broadcast((logits.astype(np.float32), bias))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value
         for b in text_slices(batches):
@@ -184,6 +185,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     logits, bias = fit(docs, labels, label)
     shared = docs.sparkSession.sparkContext.broadcast((logits.astype(np.float32), bias))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b0 = shared.value
         for b in text_slices(batches):

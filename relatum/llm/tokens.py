@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relatum.llm.common import drop_staged, ragged, shared_dir, staged, text_slices
+from relatum.llm.common import drop_staged, handing_back, ragged, shared_dir, staged, text_slices
 
 #: Ids of a block, unless one document has more; entries of a worker's word cache.
 BLOCK_IDS = 1 << 19
@@ -171,6 +171,7 @@ def encoder(name: str, by_word: bool = True) -> WordEncoder:
 def tokenized(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = 2, by_word: bool = True) -> DataFrame:
     """doc_id, tie, ids (zstd of little-endian 32-bit, or 16-bit where every id is below 65,536), n."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -204,6 +205,7 @@ def _ids(blobs: list[bytes], n: int) -> np.ndarray:
 def id_counts(tokens: DataFrame) -> DataFrame:
     """id, count over the whole table."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
@@ -259,6 +261,7 @@ def write_tokens(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", en
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(ranked), dtype=np.int64)), "id": pa.array(ranked.astype(np.int64))})).coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(rank)
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), itertools.count()
         names = ["part", "seq", "doc_ids", "counts", "control", "data"]
@@ -292,6 +295,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").toArrow().column("id").to_numpy()
     shared = spark.sparkContext.broadcast(ranks.astype("<u4"))
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():

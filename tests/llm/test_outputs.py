@@ -230,3 +230,19 @@ def test_odd_mix(odd, none, spark):
     assert mixing.mix_sources(none).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")
     assert {(r.taken, r.target) for r in mixing.mix_sources(blank).collect()} == {(0, 0.0)}
+
+
+def test_workers_hand_back_memory_at_the_end(monkeypatch):
+    """Once, after the last batch of a task and not before."""
+    from relatum.llm import common
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    out = common.handing_back(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert [next(out), next(out)] == [2, 4] and Pool.released == 0
+    assert list(out) == [] and Pool.released == 1
