@@ -88,9 +88,14 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return d, lo - off[d], count, anchor.view(np.int64), kind[:, 0], kind[:, 1]
 
 
-def sorted_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array of texts that end at `ends`, by refinement: the order of all places, where each place's text ends, and the bytes.
+#: What of a suffix's first eight bytes is in its text, by how many bytes that has.
+_KEPT = np.array([(1 << 64) - (1 << 8 * (8 - k)) for k in range(9)], np.uint64)
+
+
+def _refined(data: np.ndarray, ends: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of texts that end at `ends`, ordered by refinement, by all they have or by their first `depth` bytes.
 
+    The order of all places; for each place, where in the order its equals begin; where its text ends; and the bytes.
     Each text gets a closing place, which sorts before all bytes and is like no other, so that no suffix is compared
     beyond its text; places are those in the texts with their closings.
     """
@@ -101,29 +106,32 @@ def sorted_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     text[place] = data
     close = ends + np.arange(len(ends))
     stop = np.repeat(close, np.diff(np.append(-1, close)))
-    left = stop - np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for k in range(HEAD):
-        key <<= np.uint64(8)
-        key |= np.where(left > k, text[k : k + n], 0).astype(np.uint64)
+    head = HEAD if depth is None else min(HEAD, depth)
+    left = np.minimum(stop - np.arange(n), head)
+    key = np.ndarray((n,), ">u8", text, 0, (1,)).astype(np.uint64)
     # Of keys alike but for zeros, the text that ends first comes first; of equal ends, that of the earlier text.
-    key = key << np.uint64(8) | np.minimum(left, HEAD).astype(np.uint64)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key & _KEPT[left] | left.astype(np.uint64)
+    # The quick sort has vector code, and leaves ties in any order: those of places that end go by text, others are refined.
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
+    ended = (key & np.uint64(255)) < head
+    short = np.flatnonzero(ended)
+    order[short] = order[short][np.lexsort((order[short], key[short]))]
     new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | ((key[1:] & np.uint64(255)) < HEAD)
+    new[1:] = (key[1:] != key[:-1]) | ended[1:]
     del key
     rank = np.empty(n, np.int32)
     # A group's rank is the place of its first member, so groups split without changing any other rank.
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
-    h = HEAD
-    while True:
+    h = head
+    while depth is None or h < depth:
         open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(open_):
-            return order, stop, text
-        pos = order[open_]
+            break
         # Places of a group that is open have h bytes each, so that what follows them is in their text or its closing.
-        pair = rank[pos].astype(np.uint64) << np.uint64(32) | rank[pos + h].astype(np.uint64)
+        step = h if depth is None else min(h, depth - h)
+        pos = order[open_]
+        pair = rank[pos].astype(np.uint64) << np.uint64(32) | rank[pos + step].astype(np.uint64)
         by = np.argsort(pair, kind="stable")
         pos, pair = pos[by], pair[by]
         split = np.ones(len(pos), bool)
@@ -131,7 +139,14 @@ def sorted_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
         order[open_] = pos
         new[open_] = split
         rank[pos] = open_[np.maximum.accumulate(np.where(split, np.arange(len(pos)), 0))]
-        h *= 2
+        h += step
+    return order, rank, stop, text
+
+
+def sorted_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of texts that end at `ends`: the order of all places, where each place's text ends, and the bytes."""
+    order, _, stop, text = _refined(data, ends)
+    return order, stop, text
 
 
 def common_prefixes(order: np.ndarray, stop: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,17 +188,11 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window inside one text (texts end at `ends`): whether an equal one starts elsewhere, and the first of its equals in order."""
-    order, stop, text = sorted_suffixes(data, ends)
-    before, common = common_prefixes(order, stop, text)
-    linked = common >= length
-    twice = linked.copy()
-    twice[before[linked]] = True
-    ranked = np.maximum.accumulate(np.where(linked[order], 0, np.arange(len(order))))
-    group = np.empty(len(order), np.int64)
-    group[order] = ranked
+    _, group, _, _ = _refined(data, ends, length)
     begin = np.concatenate([[0], ends[:-1]])
     s = ragged(begin + np.arange(len(ends)), np.maximum(ends - begin - length + 1, 0))
-    return twice[s], group[s]
+    group = group[s].astype(np.int64)
+    return np.bincount(group, minlength=1)[group] > 1, group
 
 
 KEY = "id bigint, tie bigint"

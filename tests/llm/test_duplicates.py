@@ -280,3 +280,18 @@ def test_pairs_among_hundreds_alike(spark):
                 above[y] = x
     assert got == [(i, len(sets[i]), find(i)) for i, _ in docs]
     assert len({c for _, _, c in got}) > 450
+
+
+@pytest.mark.parametrize("length", [1, 6, 7, 8, 15, 20])
+def test_windows_are_sorted_as_far_as_they_go(length):
+    """Groups of equal windows against brute force; no more bytes are compared than a window has."""
+    rng = np.random.default_rng(length)
+    for _ in range(40):
+        texts = [rng.integers(0, 2, k).astype(np.uint8).tobytes() for k in rng.integers(0, 60, 8)]
+        texts.append(texts[0][5:])
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts])
+        want = [x[i : i + length] for x in texts for i in range(len(x) - length + 1)]
+        twice, group = substrings.repeated_windows(data, ends, length)
+        assert twice.tolist() == [want.count(w) > 1 for w in want]
+        assert len({*zip(want, group.tolist(), strict=True)}) == len({*want}) == len({*group.tolist()})
+        assert substrings._refined(data, ends, length)[1].max(initial=0) < len(data) + len(ends)
