@@ -167,10 +167,17 @@ def contrast_vector(positive: Column, negative: Column, weight: float = 0.3) ->
     return unit(F.when(F.size(negative) > 0, F.zip_with(mean_vector(positive), mean_vector(negative), lambda p, n: p - weight * n)).otherwise(mean_vector(positive)))
 
 
-def best_match(seed: Column, cand: Column, default_weight: Column | float = 1.0) -> Column:
-    """Mean over the seed's segments (struct vector, area_frac) of the best cosine with a segment of cand, by area."""
+def best_match(seed: Column, cand: Column, default_weight: Column | float = 1.0, several: bool = False) -> Column:
+    """Mean over the seed's segments (struct vector, area_frac) of the best cosine with a segment of cand, by area.
+
+    several: each segment has an array `vectors` and counts once, by the best of them.
+    """
     weight = lambda s: F.coalesce(s["area_frac"], F.lit(default_weight) if isinstance(default_weight, float) else default_weight)
-    best = lambda s: F.aggregate(cand, F.lit(0.0), lambda m, c: F.greatest(m, cosine(s["vector"], c["vector"])))
+    among = lambda v, c, m: F.greatest(m, cosine(v, c))
+    if several:
+        best = lambda s: F.aggregate(s["vectors"], F.lit(0.0), lambda m, v: F.aggregate(cand, m, lambda n, c: F.aggregate(c["vectors"], n, lambda k, w: among(v, w, k))))
+    else:
+        best = lambda s: F.aggregate(cand, F.lit(0.0), lambda m, c: among(s["vector"], c["vector"], m))
     total = F.aggregate(seed, F.lit(0.0), lambda t, s: t + weight(s))
     found = F.aggregate(seed, F.lit(0.0), lambda t, s: t + weight(s) * best(s))
     return or_zero(F.when((F.size(seed) > 0) & (F.size(cand) > 0) & (total >= 1e-12), found / total))

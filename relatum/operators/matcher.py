@@ -55,7 +55,7 @@ def _vector(name: str, model: str) -> Axis:
 
 def _segment(name: str, kind: str, model: str) -> Axis:
     field = f"s_{name}"
-    return Axis(name, lambda s, c: axes.best_match(s[field], c[field]), lambda x: F.size(x[field]).cast("string"), segments=(kind, model), fields=())
+    return Axis(name, lambda s, c: axes.best_match(s[field], c[field], several=True), lambda x: F.size(x[field]).cast("string"), segments=(kind, model), fields=())
 
 
 class AxisRegistry:
@@ -122,7 +122,9 @@ def contexts(catalog: Catalog, files: DataFrame, chosen: list[Axis]) -> DataFram
             out = out.join(v, "path", "left")
         if a.segments:
             s = segments_with_vectors(catalog.segments.join(files.select("path"), "path", "left_semi"), catalog.segment_embeddings, *a.segments)
-            s = s.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "vector", "area_frac", "label"))), lambda x: F.struct(x["vector"].alias("vector"), x["area_frac"].alias("area_frac"), x["label"].alias("label"))).alias(f"s_{a.name}"))
+            # One entry a segment, as one may have several vectors or rows.
+            s = s.groupBy("path", "id").agg(F.collect_set("vector").alias("vectors"), F.min("area_frac").alias("area_frac"), F.min("label").alias("label"))
+            s = s.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "vectors", "area_frac", "label"))), lambda x: x.dropFields("id")).alias(f"s_{a.name}"))
             out = out.join(s, "path", "left")
     return out
 
